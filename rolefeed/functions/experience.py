@@ -18,7 +18,7 @@ from rolefeed.functions.text import SPACE
 # Repeats are possessive and a match may not start inside a number: neither changes what is
 # found, but both keep the scan linear on long runs of digits or spaces.
 STATED_YEARS = (
-    rf"(?iU)(?<!\d)(\d++)\+?{SPACE}*+(?:-{SPACE}*+\d++)?{SPACE}*+(?:years?|yrs?){SPACE}*+(?:of{SPACE}++)?"
+    rf"(?iU)(\d(?<!\d\d)\d*+)\+?{SPACE}*+(?:-{SPACE}*+\d++)?{SPACE}*+(?:years?|yrs?){SPACE}*+(?:of{SPACE}++)?"
     rf"(?:relevant{SPACE}++|professional{SPACE}++|prior{SPACE}++)?experience"
 )
 

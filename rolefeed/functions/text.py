@@ -15,7 +15,7 @@ _ZERO_WIDTH_SPACE = "\u200b"
 
 def clean_text(text: Column) -> Column:
     """Drop U+200B, turn every run of spaces into one blank, strip. NULL stays NULL."""
-    return F.trim(F.regexp_replace(F.translate(text, _ZERO_WIDTH_SPACE, ""), rf"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.replace(text, F.lit(_ZERO_WIDTH_SPACE), F.lit("")), rf"(?U){SPACE}+", " "))
 
 
 def html_to_text(html: Column) -> Column:
@@ -23,7 +23,7 @@ def html_to_text(html: Column) -> Column:
 
     Only values with markup or entities reach the Python parser; plain text stays in the JVM.
     """
-    marked_up = F.when(html.rlike("[<&]"), html)
+    marked_up = F.when(html.contains("<") | html.contains("&"), html)
     return F.coalesce(clean_text(F.coalesce(text_of_html(marked_up), html)), F.lit(""))
 
 

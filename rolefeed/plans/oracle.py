@@ -137,9 +137,10 @@ _ANCHOR = r"""<a href="([^"]*)">([^<]*)</a>"""
 
 
 def _unescape(text: str) -> str:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "),
+                         ("&copy;", "©"), ("&middot;", "·")):
         text = f"replace({text}, '{entity}', '{char}')"
-    return text
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
 
 
 def _clean(text: str) -> str:

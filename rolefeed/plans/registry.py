@@ -12,7 +12,7 @@ from rolefeed import rules, schemas
 from rolefeed.functions import experience, text, urls
 from rolefeed.operators import dedup, fallback, filters, report
 from rolefeed.plans import flow, inputs
-from rolefeed.session import settle, shared_dir, spread
+from rolefeed.session import settle, shared_dir
 from rolefeed.sources import catalog as catalogs
 from rolefeed.sources import fetch_plan as plans
 from rolefeed.sources import pages as html_pages
@@ -158,14 +158,13 @@ def seen_append(spark, sf_dir):
 
 @query
 def clean_text(spark, sf_dir):
-    docs = inputs.table(spark, sf_dir, "documents")
+    docs = inputs.documents(spark, sf_dir)
     return docs.select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query
 def html_to_text(spark, sf_dir):
-    docs = spread(inputs.pages(spark, sf_dir).select("page_id", "html"))
-    return docs.select("page_id", text.html_to_text(F.col("html")).alias("plain"))
+    return inputs.pages(spark, sf_dir).select("page_id", text.html_to_text(F.col("html")).alias("plain"))
 
 
 @query
@@ -211,9 +210,9 @@ def yoe_extract(spark, sf_dir):
 
 @query
 def yoe_documents(spark, sf_dir):
-    """The same reading of whole documents, with the language as a stand-in for the claim."""
+    """The same reading of whole documents, each with a claim appended."""
     claim = F.concat_ws(" ", "text", (F.col("doc_id") % 40).cast("string"), F.lit("years of experience"))
-    return inputs.table(spark, sf_dir, "documents").select(
+    return inputs.documents(spark, sf_dir).select(
         "doc_id", experience.min_years_required(claim).alias("yoe")
     )
 
@@ -251,7 +250,7 @@ def kw_title(spark, sf_dir):
 @query
 def kw_documents(spark, sf_dir):
     """The keyword test over whole documents."""
-    docs = inputs.table(spark, sf_dir, "documents")
+    docs = inputs.documents(spark, sf_dir)
     return docs.where(filters.title_matches(F.col("text"))).select("doc_id")
 
 

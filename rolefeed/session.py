@@ -80,13 +80,12 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if size <= limit else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer splits than the cluster has cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """Redistribute a table scan that has fewer splits than the cluster has cores.
 
-    For scans that feed per-row Python. A large input already has enough splits and is left
-    alone, so only small inputs are ever shuffled here.
+    For scans that feed costly per-row work. A large table already has enough splits and is left
+    alone, so only small ones are ever shuffled here. Give it a plain scan: counting the splits
+    of a join would run the join.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

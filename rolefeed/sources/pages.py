@@ -14,7 +14,6 @@ from rolefeed.functions import html
 from rolefeed.functions.text import card_title, clean_text, link_title
 from rolefeed.operators.dedup import first_per_page
 from rolefeed.operators.filters import is_card_title, is_job_link, link_matches
-from rolefeed.session import spread
 
 _TYPES = {"bigint": T.LongType(), "string": T.StringType()}
 
@@ -26,7 +25,7 @@ def _extract(pages: DataFrame, keys: Sequence[str], fields, extract) -> DataFram
     # Only pages that can hold a link are sent to Python.
     linked = pages.where(F.col("html").contains("<a") | F.col("html").contains("<A"))
     wanted = dict.fromkeys([*keys, "url", "html"])
-    return spread(linked.select(*wanted)).mapInArrow(
+    return linked.select(*wanted).mapInArrow(
         functools.partial(html.explode_pages, keys=keys, fields=fields, extract=extract), schema
     )
 
