@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from rolefeed import rules
 from rolefeed.operators.fallback import generic_postings
 from rolefeed.operators.filters import title_matches, too_senior, with_experience
-from rolefeed.operators.report import write_digest
+from rolefeed.operators.report import company_metrics, run_metrics, write_digest
 from rolefeed.session import broadcast_if_small, settle
 from rolefeed.sources.catalog import routed
 from rolefeed.sources.payloads import normalise_all, usable, with_catalog
@@ -63,6 +64,14 @@ def matching_postings(
     return with_experience(both, chosen.max_years).drop("description")
 
 
+class Outcome(NamedTuple):
+    """What a run leaves behind."""
+
+    new: DataFrame  # its rows of the seen table
+    companies: DataFrame  # matched and dropped postings per catalog company
+    totals: DataFrame  # one row: new postings, postings dropped for experience
+
+
 def run(
     catalog: DataFrame,
     payloads: DataFrame,
@@ -73,13 +82,13 @@ def run(
     run_ts: dt.datetime,
     digest_path: str | None = None,
     chosen: Rules = Rules(),
-) -> DataFrame:
-    """One run: collect, filter, report what is new. Returns the run's rows of the seen table.
+) -> Outcome:
+    """One run: collect, filter, report what is new.
 
     The digest is made from the committed rows, so a lost one can be made again.
     """
-    matches = matching_postings(catalog, payloads, static_pages, rendered_pages, chosen)
+    matches = settle(matching_postings(catalog, payloads, static_pages, rendered_pages, chosen))
     new = record_new(matches.where("yoe_ok"), seen_path, run_id, run_ts)
     if digest_path:
         write_digest(new, digest_path)
-    return new
+    return Outcome(new, company_metrics(catalog, matches), run_metrics(new, matches))

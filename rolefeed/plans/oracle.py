@@ -35,8 +35,8 @@ def _yoe(text: str) -> str:
     )
 
 
-NOTE = "coalesce(concat('~', cast(yoe as varchar), '+ yrs stated'), 'YOE not stated')"
-NOTE = f"case when yoe is null then '{rules.NOT_STATED}' else {NOTE} end"
+NOTE = (f"case when yoe is null then '{rules.NOT_STATED}' "
+        "else concat('~', cast(yoe as varchar), '+ yrs stated') end")
 
 # The description as plain text: one of the test descriptions has markup.
 PLAIN = "case when description like '<p>%' then '4 years experience' else coalesce(description, '') end"
@@ -244,6 +244,9 @@ ORACLE = {
      when 'amazon' then concat('base_query=&offset=', cast(page_offset as varchar), '&result_limit=100&sort=recent')
      end as request
  from o where page_offset = 0 or page_offset < total""",
+    "reported_totals": _postings(PLACED) + """select company_ord, max_by(n, page_offset) as total
+      from (select company_ord, page_offset, count(*) as n from placed group by company_ord, page_offset)
+      where company_ord % 6 in (4, 5) group by company_ord""",
     "seen_append": _postings(f""",
  runs as (select * replace (cast({_SINCE} as int) as run_id) from p)""")
     + f"""select cast(run_id as bigint) as run_id, company_ord, posting_ord, company, title, url
@@ -326,7 +329,7 @@ ORACLE = {
       from new order by company_ord, posting_ord limit 10""",
     "stream_new": _postings()
     + _first("p", "run_id, " + _ORD, columns="company_ord, posting_ord, title, url"),
-    "full_run": LINKS + STATIC_HITS.replace("hits as", "hits as", 1) + _either(SENIOR)
+    "full_run": LINKS + STATIC_HITS + _either(SENIOR)
     + f", p as ({POSTINGS})" + ALL_SOURCES + f""",
  matching as (
    select company_ord, posting_ord, company, title, url, description from united

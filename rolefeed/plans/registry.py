@@ -142,6 +142,11 @@ def fetch_plan(spark, sf_dir):
     return plans.fetch_plan(catalogs.routed(inputs.catalog(spark, sf_dir)))
 
 
+@query
+def reported_totals(spark, sf_dir):
+    return responses.reported_totals(inputs.payloads(spark, sf_dir))
+
+
 @query
 def seen_append(spark, sf_dir):
     """The seen table after two runs, the second of them repeated."""
@@ -432,9 +437,9 @@ def full_run(spark, sf_dir):
         "company_ord", F.col("company_ord") + PAGE_COMPANY_BASE
     )
     platform = inputs.companies(spark, sf_dir).select("company_ord", "name", "url", "type")
-    catalog = platform.unionByName(
+    catalog = settle(platform.unionByName(
         page_companies.select("company_ord", F.col("company").alias("name"), "url", F.lit("generic").alias("type"))
-    )
+    ))
     landed = page_companies.select("company_ord", "url", "html")
     payloads = settle(
         inputs.payloads(spark, sf_dir).select("company_ord", "page_offset", "body", "source_type"),
@@ -443,8 +448,8 @@ def full_run(spark, sf_dir):
     chosen = flow.Rules(
         keywords=(*rules.KEYWORDS, *FALLBACK_KEYWORDS), fragments=PAGE_FRAGMENTS, boilerplate=PAGE_BOILERPLATE
     )
-    new = flow.run(catalog, payloads, landed, landed, shared_dir(spark), 0, RUN_TS, chosen=chosen)
-    return new.select("company_ord", "posting_ord", "company", "title", "url", "yoe_note")
+    outcome = flow.run(catalog, payloads, landed, landed, shared_dir(spark), 0, RUN_TS, chosen=chosen)
+    return outcome.new.select("company_ord", "posting_ord", "company", "title", "url", "yoe_note")
 
 
 def _replay(spark, sf_dir, prepare=lambda df: df, digest_path=None):

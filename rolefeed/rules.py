@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.sql import SparkSession
+
 # --- fixed values -------------------------------------------------------------------------
 
 KEYWORDS = (
@@ -57,26 +59,24 @@ AMAZON_LIMIT, AMAZON_LAST_OFFSET = 100, 1000
 # --- reading user-edited rules ------------------------------------------------------------
 
 
-def load_rules(path: str) -> dict:
-    """A rule file (YAML mapping, or JSON, which YAML includes) as a dict.
+def load_rules(spark: SparkSession, path: str) -> dict:
+    """A rule file (YAML, or JSON, which YAML includes) from any file system Spark can read.
 
-    Rule files are short hand-edited configuration; they are read on the driver and end up as
-    literals in the plan.
+    Rule files are short hand-edited configuration; they end up as literals in the plan.
     """
     import yaml
 
-    with open(path, encoding="utf-8") as handle:
-        return yaml.safe_load(handle)
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first().value)
 
 
-def rule_list(path: str, key: str) -> tuple[str, ...]:
+def rule_list(spark: SparkSession, path: str, key: str) -> tuple[str, ...]:
     """One list of words out of a rule file."""
-    return tuple(load_rules(path)[key])
+    return tuple(load_rules(spark, path)[key])
 
 
-def max_years(path: str) -> int:
+def max_years(spark: SparkSession, path: str) -> int:
     """The experience cap of a rule file; ``MAX_YEARS`` when the file does not set it."""
-    return int(load_rules(path).get("max_years", MAX_YEARS))
+    return int(load_rules(spark, path).get("max_years", MAX_YEARS))
 
 
 def folded(words: Sequence[str]) -> tuple[str, ...]:

@@ -58,7 +58,7 @@ def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
     Used where a costly result feeds two branches: it is computed once, it survives the loss of
-    executors, and its size is known to the planner and to ``broadcast_if_small``.
+    executors, and its size is known to the planner and to ``fits_broadcast``.
     """
     path = shared_dir(df.sparkSession)
     writer = df.write
@@ -68,16 +68,18 @@ def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its measured size allows it, else unchanged.
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the measured size of ``df`` allows a broadcast. Meant for settled tables, where
+    measuring is a cheap scan."""
+    values = (F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns)
+    width = sum(values, F.lit(16 * (len(df.columns) + 1)))
+    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0] <= limit
 
-    Meant for settled tables, where measuring is a cheap scan. Without the hint the join falls
-    back to a shuffle, where adaptive execution splits skewed keys.
-    """
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns),
-                F.lit(16 * (len(df.columns) + 1)))
-    size = df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= limit else df
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its measured size allows it. If not, the join shuffles, and
+    adaptive execution splits skewed keys."""
+    return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
 def spread(scan: DataFrame) -> DataFrame:

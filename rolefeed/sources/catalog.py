@@ -18,7 +18,7 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith((".yaml", ".yml")):
         rows = [
             (i, company["name"], company["url"], company.get("type"))
-            for i, company in enumerate(rules.load_rules(path)["companies"])
+            for i, company in enumerate(rules.load_rules(spark, path)["companies"])
         ]
         return spark.createDataFrame(rows, schemas.CATALOG)
     reader = spark.read.schema(schemas.CATALOG)

@@ -193,13 +193,25 @@ def normalise(payloads: DataFrame, source_type: str) -> DataFrame:
     made = [c for c in rows.columns if not c.startswith("f_")]
     return rows.select(
         *made,
-        # A field with a default is missing without being bad.
-        F.when(F.col("bad").isNull(), F.coalesce(clean_text(layout.title()), F.lit(""))).alias("title"),
+        # A title with a default may be missing without being bad.
+        F.coalesce(clean_text(layout.title()), F.lit("")).alias("title"),
         layout.url().alias("url"),
         layout.description().alias("description"),
     ).drop("page_offset", "catalog_url")
 
 
+def reported_totals(payloads: DataFrame) -> DataFrame:
+    """Per company, the number of postings its platform reports, as read from the last page of a
+    paged listing; 0 when it does not say. Feeds the fetch plan for the remaining pages."""
+    said = F.from_json("body", "total bigint, hits bigint")
+    total = F.when(F.col("source_type") == "workday", said["total"]).otherwise(said["hits"])
+    return (
+        payloads.where(F.col("source_type").isin("workday", "amazon"))
+        .select("company_ord", "page_offset", F.coalesce(total, F.lit(0)).alias("total"))
+        .groupBy("company_ord").agg(F.max_by("total", "page_offset").alias("total"))
+    )
+
+
 def with_catalog(payloads: DataFrame, catalog: DataFrame) -> DataFrame:
     """Attach company name, route and ``catalog_url`` of a routed catalog. Responses of another
     platform than the company's route are left out."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rolefeed import schemas
 from rolefeed.operators.dedup import RUN_ORDER, first_per_url, not_seen
-from rolefeed.session import BROADCAST_BYTES, broadcast_if_small, settle
+from rolefeed.session import BROADCAST_BYTES, fits_broadcast, settle
 
 
 def read_seen(spark: SparkSession, path: str, before_run: int | None = None) -> DataFrame:
@@ -56,6 +56,7 @@ def record_new(
     candidates = settle(first_per_url(df, order))
     seen = read_seen(spark, path, before_run=run_id).select("url")
     urls = candidates.select("url").where("url is not null")
-    seen = seen.join(broadcast_if_small(urls, limit), "url", "left_semi")
+    if fits_broadcast(urls, limit):
+        seen = seen.join(F.broadcast(urls), "url", "left_semi")
     append_run(not_seen(candidates, seen, order), path, run_id, run_ts)
     return read_seen(spark, path).where(F.col("run_id") == run_id)
