@@ -27,9 +27,10 @@ def digest_lines(df: DataFrame) -> DataFrame:
     Companies come in order of their first posting. The text is never gathered into one value, so
     a company may have any number of postings; it is put in order only by the sort of the sink.
     """
+    # The first step aggregates by hash, before the shuffle; the second sees one row per company.
     companies = (
-        df.groupBy("company")
-        .agg(F.min(F.struct("company_ord", "posting_ord")).alias("first"))
+        df.groupBy("company", "company_ord").agg(F.min("posting_ord").alias("posting_ord"))
+        .groupBy("company").agg(F.min(F.struct("company_ord", "posting_ord")).alias("first"))
         .select(
             "company",
             F.col("first.company_ord").alias("first_company_ord"),

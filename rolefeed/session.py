@@ -28,8 +28,6 @@ def build_session(master: str | None = None, app_name: str = "rolefeed", **conf)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # Pages can be megabytes each, so a batch is kept well under the default row count.
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
         **conf,
     }
     for key, value in settings.items():
