@@ -46,7 +46,7 @@ def new_per_run(df: DataFrame) -> DataFrame:
 
 
 def not_seen(df: DataFrame, seen: DataFrame, order: Sequence[str] = RUN_ORDER) -> DataFrame:
-    """Postings whose url is not in ``seen``; a NULL url never is."""
+    """Postings whose url is not in ``seen``, which has each url once; a NULL url never is."""
     keyed = df.withColumn("_key", own_key(F.col("url"), order))
     known = seen.select(F.col("url").alias("_key"))
     return keyed.join(known, "_key", "left_anti").drop("_key")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolefeed.session import broadcast_if_small, settle
+
 HEADER, POSTING, BLANK = 0, 1, 2
 
 # Sorting digest lines by these columns gives the text of the digest.
@@ -26,6 +28,7 @@ def digest_lines(df: DataFrame) -> DataFrame:
 
     Companies come in order of their first posting. The text is never gathered into one value, so
     a company may have any number of postings; it is put in order only by the sort of the sink.
+    ``df`` is read twice, so give it committed or settled rows.
     """
     # The first step aggregates by hash, before the shuffle; the second sees one row per company.
     companies = (
@@ -37,6 +40,8 @@ def digest_lines(df: DataFrame) -> DataFrame:
             F.col("first.posting_ord").alias("first_posting_ord"),
         )
     )
+    # Settled, so that a list of usual size is known to fit a broadcast and the postings stay put.
+    companies = broadcast_if_small(settle(companies))
     frame = F.explode(F.array(
         F.struct(F.lit(HEADER).alias("part"), F.concat(F.lit("== "), "company", F.lit(" ==")).alias("line")),
         F.struct(F.lit(BLANK).alias("part"), F.lit("").alias("line")),
@@ -91,6 +96,15 @@ def run_metrics(new: DataFrame, gated: DataFrame) -> DataFrame:
     )
 
 
+def write_metrics(metrics: DataFrame, path: str, run_id: int) -> None:
+    """Keep a run's metrics in its own partition; writing them again replaces them."""
+    (
+        metrics.withColumn("run_id", F.lit(run_id).cast("bigint"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id").parquet(path)
+    )
+
+
 def preview(df: DataFrame, n: int = 10) -> DataFrame:
     """The first ``n`` postings in report order, each with the total count."""
     total = df.agg(F.count("*")).scalar()

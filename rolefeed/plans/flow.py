@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rolefeed import rules
 from rolefeed.operators.fallback import generic_postings
 from rolefeed.operators.filters import title_matches, too_senior, with_experience
-from rolefeed.operators.report import company_metrics, run_metrics, write_digest
+from rolefeed.operators.report import company_metrics, run_metrics, write_digest, write_metrics
 from rolefeed.session import broadcast_if_small, settle
 from rolefeed.sources.catalog import routed
 from rolefeed.sources.payloads import normalise_all, usable, with_catalog
@@ -81,6 +81,7 @@ def run(
     run_id: int,
     run_ts: dt.datetime,
     digest_path: str | None = None,
+    metrics_path: str | None = None,
     chosen: Rules = Rules(),
 ) -> Outcome:
     """One run: collect, filter, report what is new.
@@ -91,4 +92,8 @@ def run(
     new = record_new(matches.where("yoe_ok"), seen_path, run_id, run_ts)
     if digest_path:
         write_digest(new, digest_path)
-    return Outcome(new, company_metrics(catalog, matches), run_metrics(new, matches))
+    companies, totals = company_metrics(catalog, matches), run_metrics(new, matches)
+    if metrics_path:
+        write_metrics(companies, f"{metrics_path}/companies", run_id)
+        write_metrics(totals, f"{metrics_path}/totals", run_id)
+    return Outcome(new, companies, totals)

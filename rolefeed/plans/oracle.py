@@ -329,6 +329,15 @@ ORACLE = {
       from new order by company_ord, posting_ord limit 10""",
     "stream_new": _postings()
     + _first("p", "run_id, " + _ORD, columns="company_ord, posting_ord, title, url"),
+    "stream_digest": _postings(FLAGGED + f""",
+ first_rows as ({_first('flagged', 'run_id, ' + _ORD, 'yoe_ok')}),
+ landed as (select *, {_LANDING} as landing from first_rows),
+ lines as (
+   select landing, concat('- ', title, ' (', yoe_note, ')') as value from landed
+   union all select landing, concat('  ', coalesce(url, 'None')) from landed
+   union all select distinct landing, concat('== ', company, ' ==') from landed
+   union all select landing, '' from (select distinct landing, company from landed))""")
+    + "select cast(landing as bigint) as run_id, value from lines",
     "full_run": LINKS + STATIC_HITS + _either(SENIOR)
     + f", p as ({POSTINGS})" + ALL_SOURCES + f""",
  matching as (

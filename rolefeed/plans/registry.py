@@ -345,8 +345,9 @@ def _history_split(spark, sf_dir):
 
 @query
 def new_postings(spark, sf_dir):
-    seen, incoming = _history_split(spark, sf_dir)
-    return dedup.new_postings(incoming, seen.where("url is not null")).select("posting_ord", "company", "title", "url")
+    earlier, incoming = _history_split(spark, sf_dir)
+    seen = earlier.select("url").where("url is not null").distinct()
+    return dedup.new_postings(incoming, seen).select("posting_ord", "company", "title", "url")
 
 
 def _rule_table(spark, words):
@@ -452,20 +453,22 @@ def full_run(spark, sf_dir):
     return outcome.new.select("company_ord", "posting_ord", "company", "title", "url", "yoe_note")
 
 
-def _replay(spark, sf_dir, prepare=lambda df: df, digest_path=None):
+def _replay(spark, sf_dir, **options):
     """Land the history in parts and process each with its own stream run."""
     base = shared_dir(spark)
     names = schemas.POSTING.names
     history = inputs.postings(spark, sf_dir)
     for name in set(names) - set(history.columns):
         history = history.withColumn(name, F.lit(None).cast("string"))
+    if "digest_path" in options:
+        options["digest_path"] = f"{base}/{options['digest_path']}"
     for low, high in zip(LANDINGS, LANDINGS[1:]):
         part = history.where((F.col("run_id") >= low) & (F.col("run_id") < high))
         part.select(*names).write.mode("append").parquet(f"{base}/landed")
         stream = incremental.landed_stream(spark, f"{base}/landed", schemas.POSTING)
         incremental.report_new(
-            stream, f"{base}/seen", f"{base}/checkpoint", prepare,
-            digest_path and f"{base}/{digest_path}", dedup.HISTORY_ORDER, lambda batch_id: RUN_TS,
+            stream, f"{base}/seen", f"{base}/checkpoint", order=dedup.HISTORY_ORDER,
+            run_ts=lambda batch_id: RUN_TS, **options,
         ).awaitTermination()
     return base
 
@@ -478,7 +481,9 @@ def stream_new(spark, sf_dir):
 
 @query
 def stream_digest(spark, sf_dir):
-    """The text of every micro-batch's digest."""
-    matching = lambda batch: batch.transform(filters.role_filter).transform(filters.experience_gate)
-    base = _replay(spark, sf_dir, matching, "digest")
-    return spark.read.text(f"{base}/digest").select("run_id", "value")
+    """The lines of every micro-batch's digest."""
+    def matching(batch):
+        return batch.transform(filters.role_filter).transform(filters.with_experience)
+
+    base = _replay(spark, sf_dir, to_postings=matching, digest_path="digest")
+    return spark.read.text(f"{base}/digest").select(F.col("run_id").cast("bigint").alias("run_id"), "value")

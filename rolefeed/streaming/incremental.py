@@ -6,11 +6,13 @@ import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from rolefeed.operators.dedup import RUN_ORDER
-from rolefeed.operators.report import write_digest
+from rolefeed.operators.report import run_metrics, write_digest, write_metrics
+from rolefeed.session import settle
 from rolefeed.sources.seen import record_new
 
 
@@ -27,6 +29,7 @@ def report_new(
     digest_path: str | None = None,
     order: Sequence[str] = RUN_ORDER,
     run_ts: Callable[[int], dt.datetime] | None = None,
+    metrics_path: str | None = None,
 ) -> StreamingQuery:
     """Process everything that has landed since the last call, as one run, and stop.
 
@@ -35,13 +38,23 @@ def report_new(
     is repeated after a failure replaces its own partition. What has been seen must never expire,
     so it lives in the table and not in stream state; keep table and checkpoint together.
 
+    ``to_postings`` turns a batch into postings. If it leaves postings that fail the experience
+    gate in, marked by ``yoe_ok``, they are not reported but counted in the metrics.
+
     Across runs the first posting wins only if files land in run order, so call this once per
     landing, as a scheduler would.
     """
 
     def one_run(batch: DataFrame, batch_id: int) -> None:
         stamp = run_ts(batch_id) if run_ts else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        new = record_new(to_postings(batch), seen_path, batch_id, stamp, order)
+        postings = to_postings(batch)
+        if "yoe_ok" not in postings.columns:
+            postings = postings.withColumn("yoe_ok", F.lit(True))
+        if metrics_path:
+            postings = settle(postings)  # read by the run and by its metrics
+        new = record_new(postings.where("yoe_ok"), seen_path, batch_id, stamp, order)
+        if metrics_path:
+            write_metrics(run_metrics(new, postings), metrics_path, batch_id)
         if digest_path:
             write_digest(new, f"{digest_path}/run_id={batch_id}")
 

@@ -16,8 +16,7 @@ def con():
 
 
 def test_every_sql_has_a_query():
-    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {"stream_digest"}
+    assert set(entry_point.oracle_sql()) == set(entry_point.queries())
 
 
 def test_flagship(spark):
@@ -34,13 +33,3 @@ def test_same_as_sql(spark, con, name):
 def test_new_per_run_totals(spark):
     rows = entry_point.queries()["new_per_run"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 1418 and sum(r.posting_ord for r in rows) == 1059197
-
-
-def test_stream_digest_names_every_match_once(spark):
-    """Every landing's digest together: as many postings as matched in the whole history."""
-    from rolefeed.operators import dedup, filters
-    from rolefeed.plans import inputs
-
-    lines = [r.value for r in entry_point.queries()["stream_digest"](spark, SF_DIR).collect()]
-    postings = inputs.postings(spark, SF_DIR).transform(filters.role_filter).transform(filters.experience_gate)
-    assert sum(line.startswith("- ") for line in lines) == dedup.new_per_run(postings).count()

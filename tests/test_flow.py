@@ -62,8 +62,8 @@ def titles(df):
 
 
 def test_run(spark, world):
-    path, digest = shared_dir(spark), shared_dir(spark)
-    outcome = run(*world, path, 1, NOW, digest)
+    path, digest, kept = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    outcome = run(*world, path, 1, NOW, digest, kept)
     assert titles(outcome.new) == sorted([
         (0, "Software Engineer", "https://a/1"), (0, "SWE", None),
         (1, "Junior", "https://static.example.com/swe"),
@@ -73,6 +73,9 @@ def test_run(spark, world):
     assert [tuple(r) for r in outcome.totals.collect()] == [(5, 1)]
     metrics = {r.company_ord: (r.matched, r.dropped) for r in outcome.companies.collect()}
     assert metrics == {0: (2, 1), 1: (1, 0), 2: (1, 0), 3: (0, 0), 4: (0, 0), 5: (0, 0), 6: (2, 0), 7: (0, 0)}
+    totals = spark.read.parquet(f"{kept}/totals").collect()
+    assert [(r.run_id, r.new_postings, r.dropped_for_experience) for r in totals] == [(1, 5, 1)]
+    assert spark.read.parquet(f"{kept}/companies").count() == len(CATALOG)
     # The two companies named Acme share a block, in the place of the first.
     text = "\n".join(r.value for r in spark.read.text(digest).collect())
     assert text == "\n".join([

@@ -38,6 +38,22 @@ def test_each_landing_is_one_run(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "digest").iterdir()) == ["run_id=0", "run_id=1"]
 
 
+def test_metrics_count_what_was_dropped(spark):
+    from rolefeed.operators.filters import with_experience
+
+    base = shared_dir(spark)
+    rows = [posting(0, 0, i, f"u{i}")[:8] + (text, None, None) for i, text in enumerate(["9 yrs experience", None, "1 yr experience"])]
+    spark.createDataFrame(rows, schemas.POSTING).write.parquet(f"{base}/in")
+    report_new(
+        landed_stream(spark, f"{base}/in", schemas.POSTING), f"{base}/seen", f"{base}/cp", with_experience,
+        metrics_path=f"{base}/metrics",
+    ).awaitTermination()
+    (metrics,) = spark.read.parquet(f"{base}/metrics").collect()
+    assert (metrics.run_id, metrics.new_postings, metrics.dropped_for_experience) == (0, 2, 1)
+    notes = {r.posting_ord: r.yoe_note for r in read_seen(spark, f"{base}/seen").collect()}
+    assert notes == {1: "YOE not stated", 2: "~1+ yrs stated"}
+
+
 def test_raw_payloads(spark):
     """A stream of responses, normalised inside the batch."""
     from rolefeed.sources.payloads import normalise_all, usable, with_catalog
