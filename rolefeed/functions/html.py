@@ -73,6 +73,10 @@ class PageReader(HTMLParser):
     def text(self, span: _Span, separator: str = "") -> str:
         return separator.join(self.chunks[span.start : span.end])
 
+    def updatepos(self, i, j):
+        # Line numbers are not needed, and counting them costs a scan.
+        return j
+
     # A chunk ends wherever markup interrupts the text.
     def _end_text(self):
         if self._pending:

@@ -420,9 +420,10 @@ def run_metrics(spark, sf_dir):
 
 @query
 def preview(spark, sf_dir):
-    return report.preview(
+    # Settled, because the rows are both counted and listed.
+    return report.preview(settle(
         dedup.first_per_url(_matches(spark, sf_dir)).select("company_ord", "posting_ord", "title", "url")
-    )
+    ))
 
 
 # --- whole runs ---------------------------------------------------------------------------

@@ -147,14 +147,15 @@ def records(payloads: DataFrame, source_type: str) -> DataFrame:
     """
     layout = PLATFORMS[source_type]
     fields = ", ".join(f"{f.name} variant" for f in layout.fields)
-    items = layout.items or "items"
-    body = F.col("body") if layout.items else F.concat(F.lit('{"items":'), "body", F.lit("}"))
-    schema = f"{items} array<struct<{fields}>>, _corrupt string"
-    parsed = F.from_json(body, schema, _JSON)
-    unreadable = F.col("p").isNull() | F.col("p._corrupt").isNotNull()
-    if layout.items is None:
-        unreadable = unreadable | F.col(f"p.{items}").isNull()
-    listed = F.when(unreadable, F.array(F.lit(None))).otherwise(F.col(f"p.{items}"))
+    records_type = f"array<struct<{fields}>>"
+    response_type = f"struct<{layout.items} {records_type}>" if layout.items else records_type
+    # As the one element of a list, a response followed by anything else is unreadable.
+    wrapped = F.concat(F.lit('{"responses":['), "body", F.lit("]}"))
+    parsed = F.from_json(wrapped, f"responses array<{response_type}>, _corrupt string", _JSON)
+    only = F.get("p.responses", F.lit(0))
+    unreadable = F.col("p._corrupt").isNotNull() | only.isNull() | (F.size("p.responses") != 1)
+    items = only[layout.items] if layout.items else only
+    listed = F.when(unreadable, F.array(F.lit(None))).otherwise(items)
     carried = [c for c in payloads.columns if c != "body"]
     exploded = (
         payloads.where(F.col("source_type") == source_type)

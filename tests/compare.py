@@ -1,4 +1,4 @@
-"""Compare a Spark query with its DuckDB SQL: columns, row count and values, in any row order."""
+"""Compare a Spark query with its DuckDB SQL: columns, types, row count and values, in any order."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from collections import Counter
 
 import duckdb
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP"}
+
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -28,6 +30,10 @@ def difference(df, con, sql: str) -> str | None:
     names = [d[0] for d in result.description]
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
+    kinds = {name: str(kind) for name, kind, *_ in result.description}
+    mine = {name: TYPES.get(kind, kind) for name, kind in df.dtypes}
+    if mine != kinds:
+        return f"types {mine} != {kinds}"
     mine, theirs = _rows(df.columns, df.collect()), _rows(names, result.fetchall())
     if mine != theirs:
         extra, missing = list((mine - theirs).items()), list((theirs - mine).items())

@@ -29,7 +29,7 @@ def test_greenhouse(spark):
 
 @pytest.mark.parametrize("body", [
     '{"jobs":[{"title":"a","absolute_url":"u"},{"ti', "<html>", "", None, "[]", "null", '{"jobs":{"a":1}}', '{"jobs":[1]}',
-    '{"jobs":[null]}', "{'jobs':[]}", '{"jobs":[{"title":"a"}]}', '{"jobs":[{"absolute_url":"u"}]}',
+    '{"jobs":[null]}', "{'jobs':[]}", '{"jobs":[]} x', '{"jobs":[]}{"jobs":[]}', '{"jobs":[]}}', '{"jobs":[{"title":"a"}]}', '{"jobs":[{"absolute_url":"u"}]}',
     '{"jobs":[{"title":null,"absolute_url":"u"}]}', '{"jobs":[{"title":5,"absolute_url":"u"}]}',
     '{"jobs":[{"title":"a","absolute_url":"u","content":7}]}',
 ])
