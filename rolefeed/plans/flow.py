@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolefeed import rules
@@ -31,6 +31,16 @@ class Rules:
     filter_rendered: bool = False
     on_bad: str = "company"
 
+    @classmethod
+    def read(cls, spark: SparkSession, keywords: str, seniority: str, experience: str, **other) -> Rules:
+        """Rules from the three rule files, keyed ``keywords``, ``exclude_terms``, ``max_years``."""
+        return cls(
+            keywords=rules.rule_list(spark, keywords, "keywords"),
+            exclude=rules.rule_list(spark, seniority, "exclude_terms"),
+            max_years=rules.max_years(spark, experience),
+            **other,
+        )
+
 
 def matching_postings(
     catalog: DataFrame,

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import random
+import re
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -9,6 +11,7 @@ from pyspark.errors import AnalysisException
 from rolefeed import rules, schemas
 from rolefeed.operators import report
 from rolefeed.plans.flow import Rules, run
+from rolefeed.plans.oracle import _YEARS
 from rolefeed.session import shared_dir
 from rolefeed.sources.catalog import lookup, read_catalog, routed
 from rolefeed.sources.fetch_plan import fetch_plan
@@ -128,6 +131,48 @@ def test_rule_files(spark, tmp_path):
     assert rules.max_years(spark, str(path)) == 3
 
 
+def test_rules_from_files(spark, tmp_path):
+    files = {"keywords": "keywords: [dev]", "seniority": "exclude_terms: [lead]", "experience": "max_years: 4"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    chosen = Rules.read(spark, *(str(tmp_path / name) for name in files), use_rendered=False)
+    assert chosen == Rules(keywords=("dev",), exclude=("lead",), max_years=4, use_rendered=False)
+
+
+def test_runs_agree_with_a_plain_loop(spark):
+    """Three runs over random responses, one posting after the other in plain Python."""
+    rng = random.Random(5)
+    titles = ["Software Engineer", "Sr. SWE", "Fulfillment", "Account Manager", "ML Engineer IV", "Full Stack, Lead", "LLM ops"]
+    texts = [None, "", "1 yr experience", "10 years of experience", "2-3 yrs of prior experience", "6 years experience", "<b>3</b> years experience"]
+    urls = [None, *(f"https://x/{i}" for i in range(25))]
+    companies = [(i, f"C{i % 3}", f"https://boards.greenhouse.io/c{i}", None) for i in range(4)]
+    catalog = spark.createDataFrame(companies, schemas.CATALOG)
+    pages = spark.createDataFrame([], schemas.PAGE)
+    path, seen = shared_dir(spark), set()
+    for run_id in range(3):
+        jobs = {i: [{"title": rng.choice(titles), "absolute_url": rng.choice(urls), "content": rng.choice(texts)}
+                    for _ in range(rng.randint(0, 40))] for i, *_ in companies}
+        payloads = spark.createDataFrame(
+            [(i, "greenhouse", 0, json.dumps({"jobs": rows})) for i, rows in jobs.items()], schemas.PAYLOAD)
+        expected, dropped = [], 0
+        for i, name, *_ in companies:
+            for ordinal, job in enumerate(jobs[i]):
+                title, text = job["title"].lower(), (job["content"] or "").replace("<b>", "").replace("</b>", "").lower()
+                if not any(k in title for k in rules.KEYWORDS) or any(re.search(rf"\b{t}\b", title) for t in rules.SENIORITY_TERMS):
+                    continue
+                years = None if any(p in text for p in rules.ENTRY_LEVEL_PHRASES) else min(
+                    (int(m[0]) for m in re.findall(_YEARS, text)), default=None)
+                if years is not None and years > 1:
+                    dropped += 1
+                elif job["absolute_url"] is None or job["absolute_url"] not in seen:
+                    seen.add(job["absolute_url"])
+                    expected.append((i, ordinal, name, job["title"], job["absolute_url"]))
+        outcome = run(catalog, payloads, pages, pages, path, run_id, NOW)
+        got = [(r.company_ord, r.posting_ord, r.company, r.title, r.url) for r in outcome.new.collect()]
+        assert sorted(got, key=lambda r: r[:2]) == expected
+        assert [tuple(r) for r in outcome.totals.collect()] == [(len(expected), dropped)]
+
+
 def test_lookup(spark, world):
     assert [tuple(r) for r in lookup(world[0], "ACME").collect()] == [("Acme", "https://boards.greenhouse.io/acme")]
     assert [tuple(r) for r in lookup(world[0], "https://z").collect()] == [("https://z", "https://z")]
