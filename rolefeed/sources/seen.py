@@ -36,8 +36,9 @@ def append_run(new: DataFrame, path: str, run_id: int, run_ts: dt.datetime) -> N
         F.col("company_ord").cast("bigint").alias("company_ord"), "posting_ord",
         note.alias("yoe_note"), F.lit(run_id).cast("bigint").alias("run_id"),
     )
+    # Rebalanced, so that many small runs do not leave very many tiny files.
     (
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id").parquet(path)
     )
 

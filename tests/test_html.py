@@ -1,6 +1,8 @@
 """The page reader, without Spark, and page operators on awkward pages."""
 
+import random
 import time
+from html.parser import HTMLParser
 
 from rolefeed.functions.html import PageReader, card_rows, link_rows
 from rolefeed.sources.pages import job_cards, keyword_links, page_cards, page_links
@@ -55,6 +57,80 @@ def test_heading_is_inside_its_link():
     assert [r[3] for r in rows] == [None, "Inside"]
 
 
+class Tree(HTMLParser):
+    """The obvious reader: builds the tree, then walks it."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.root = ["", {}, [], None]
+        self.at = self.root
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs), [], self.at]
+        self.at[2].append(node)
+        if tag != "br":
+            self.at = node
+
+    def handle_endtag(self, tag):
+        node = self.at
+        while node[3] and node[0] != tag:
+            node = node[3]
+        if node[3]:
+            self.at = node[3]
+        self.at[2].append("")  # ends the text before it
+
+    def handle_comment(self, data):
+        self.at[2].append("")
+
+    def handle_data(self, data):
+        self.at[2].append(data)
+
+    def nodes(self, node):
+        for child in node[2]:
+            if not isinstance(child, str):
+                yield child
+                yield from self.nodes(child)
+
+    def texts(self, node, muted=False):
+        muted = muted or self.muted(node)
+        for child in node[2]:
+            if isinstance(child, str):
+                if child.strip() and not muted:
+                    yield child.strip()
+            else:
+                yield from self.texts(child, muted)
+
+    def muted(self, node):
+        return bool(node) and (node[0] in ("script", "template") or self.muted(node[3]))
+
+    def cards(self):
+        for node in self.nodes(self.root):
+            if node[0] == "a" and "href" in node[1]:
+                heading = next((n for n in self.nodes(node) if n[0] in ("h3", "p", "span")), None)
+                yield (node[1]["href"], "".join(self.texts(node)), heading and "".join(self.texts(heading)),
+                       " ".join(self.texts(node[3])))
+
+
+def test_agrees_with_a_tree():
+    rng = random.Random(13)
+    pieces = ['<a href="/1">', '<a href="/2">', "<a>", "</a>", "<p>", "</p>", "<h3>", "</h3>", "<span>", "</span>", "<div>",
+              "</div>", "<li>", "<br>", "<!-- c -->", "<template>", "</template>", "<script>x</script>", " one", "two ", "  "]
+    found = 0
+    for _ in range(4000):
+        # Two texts in a row would be one, so there is markup between them.
+        html = ""
+        for piece in rng.choices(pieces, k=rng.randint(1, 25)):
+            if piece[0] == "<" or html.endswith(">") or not html:
+                html += piece
+        expected = list(Tree(html).cards())
+        got = [(href, text, heading, around) for href, _, text, heading, _, around in cards(html)]
+        assert got == expected, html
+        found += len(got)
+    assert found > 4000
+
+
 def test_deep_and_long_pages_scan_in_linear_time():
     start = time.time()
     PageReader("<p><a href=x>" * 20000 + "</b>" * 20000)
