@@ -6,6 +6,7 @@ element of interest, the slice of chunks it spans, so no tree is built.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -32,6 +33,31 @@ HEADINGS = frozenset("h1 h2 h3 h4 span p".split())
 
 _FLUSH_CHARS = 16 * 1024 * 1024
 
+# Markup without any irregularity, with the text before it. Nothing backtracks. What the standard
+# parser would read in a different way in some Python version is not matched either.
+_TOKEN = re.compile(
+    r"""
+    (?P<text>[^<&]*+)(?:
+    <(?P<start>[a-zA-Z][a-zA-Z0-9]*+)
+      (?P<attributes>(?>[ \t\n\r\f]++[a-zA-Z_:][a-zA-Z0-9_:.-]*+
+        (?>[ \t\n\r\f]*+=[ \t\n\r\f]*+(?>"[^"<>]*+"|'[^'<>]*+'|[^ \t\n\r\f"'=<>`]++))?+)*+)
+      [ \t\n\r\f]*+(?P<closed>/?+)>
+    |</(?P<end>[a-zA-Z][a-zA-Z0-9]*+)>
+    |(?P<skipped><!--(?!-?>)[^-]*+(?>-[^-]++)*+-->|<!(?i:doctype)[^<>]*+>)
+    |&(?P<entity>[a-zA-Z][a-zA-Z0-9]*+);
+    |&\#(?P<number>[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});
+    |(?P<ampersand>&)(?=[ \t\n\r\f])
+    |\Z)
+    """,
+    re.VERBOSE,
+)
+_ATTRIBUTE = re.compile(
+    r"""([a-zA-Z_:][a-zA-Z0-9_:.-]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*)"|'([^']*)'|([^ \t\n\r\f"'=<>`]+)))?"""
+)
+# Elements whose content is, in some version, not read as markup. Here it may be text only.
+_SCRIPT = {tag: re.compile(rf"</\s*{tag}", re.IGNORECASE) for tag in ("script", "style")}
+_TEXT_ONLY = frozenset("title textarea xmp iframe noembed noframes plaintext".split())
+
 
 class _Span:
     """An element: its tag and the slice of text chunks inside it."""
@@ -53,6 +79,20 @@ class _Anchor(_Span):
 class PageReader(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=False)
+        self._start_over()
+        if not self._read_regular(html):
+            self._start_over()
+            try:
+                self.feed(html)
+                self.close()
+            except (AssertionError, ValueError):
+                # A malformed declaration or an absurd character number: the page is unusable.
+                self._start_over()
+        self._end_text()
+        for span in self._open:
+            span.end = len(self.chunks)
+
+    def _start_over(self):
         self.chunks: list[str] = []
         self.anchors: list[_Anchor] = []
         self._pending: list[str] = []
@@ -60,15 +100,67 @@ class PageReader(HTMLParser):
         self._open_tags = Counter()
         self._no_heading: list[_Anchor] = []
         self._muted = 0
-        try:
-            self.feed(html)
-            self.close()
-            self._end_text()
-        except (AssertionError, ValueError):
-            # A malformed declaration or an absurd character number: the page is unusable.
-            self.chunks, self.anchors, self._open = [], [], []
-        for span in self._open:
-            span.end = len(self.chunks)
+
+    def _read_regular(self, html: str) -> bool:
+        """Read a page of regular markup, faster than the parser does; False if it is not."""
+        position, inside = 0, None
+        while position < len(html):
+            token = _TOKEN.match(html, position)
+            if not token:
+                return False
+            position, kind = token.end(), token.lastgroup
+            if text := token["text"]:
+                self._pending.append(text)
+            if kind == "end":
+                tag = token["end"].lower()
+                if inside and inside != tag:
+                    return False
+                inside = None
+                self.handle_endtag(tag)
+            elif kind == "text":
+                break
+            elif inside:
+                return False
+            elif kind == "closed":
+                tag = token["start"].lower()
+                attributes = self._attributes(token["attributes"]) if tag == "a" else ()
+                if attributes is None:
+                    return False
+                if token["closed"]:
+                    if tag in _TEXT_ONLY or tag in _SCRIPT:
+                        return False
+                    self.handle_startendtag(tag, attributes)
+                    continue
+                self.handle_starttag(tag, attributes)
+                if tag in _SCRIPT:
+                    end = _SCRIPT[tag].search(html, position)
+                    if not end or "<!--" in html[position : end.start()]:
+                        return False
+                    position, inside = end.start(), tag
+                elif tag in _TEXT_ONLY:
+                    inside = tag
+            elif kind == "entity":
+                self.handle_entityref(token["entity"])
+            elif kind == "number":
+                self.handle_charref(token["number"])
+            elif kind == "ampersand":
+                self._pending.append("&")
+            else:
+                self._end_text()
+        return inside is None
+
+    @staticmethod
+    def _attributes(source: str) -> list[tuple[str, str | None]] | None:
+        """Name and value pairs; None if a value has an entity other than ``&amp;``."""
+        pairs = []
+        for match in _ATTRIBUTE.finditer(source):
+            value = match[match.lastindex] if match.lastindex > 1 else None
+            if value and "&" in value:
+                if "&" in value.replace("&amp;", ""):
+                    return None
+                value = value.replace("&amp;", "&")
+            pairs.append((match[1].lower(), value))
+        return pairs
 
     def text(self, span: _Span, separator: str = "") -> str:
         return separator.join(self.chunks[span.start : span.end])

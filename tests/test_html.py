@@ -131,6 +131,40 @@ def test_agrees_with_a_tree():
     assert found > 4000
 
 
+class Parsed(PageReader):
+    """Every page by the standard parser."""
+
+    def _read_regular(self, html):
+        return False
+
+
+def test_regular_pages_are_read_as_the_parser_does():
+    rng = random.Random(1)
+    pieces = [
+        '<a href="/1">', '<a href=/x/ >', "<a href='q?a=1&amp;b=2' aria-label=Go>", '<A HREF="a&lt;b">', '<a href="x"/>', '<a href>',
+        '<a>', '</a>', '</A>', '<p class="c d">', '</p>', '<p/>', '<br>', '<br/>', '<br />', '</br>', '<h3 id=a disabled>', '</h3>',
+        '<!-- c -->', '<!---->', '<!-->', '<!-- a--b -->', '<!--x', '<!DOCTYPE html>', '<!doctype', '<script>', '</script>',
+        '<script>a<b</script>', '<script>"</p>"</script>', '<SCRIPT><!-- </SCRIPT>', '</ script>', '<style>p{}</style>', '<title>',
+        '</title>', '<title>a &amp; b</title>', '<textarea><b></textarea>', '<iframe>', '</iframe>', '<template>', '</template>',
+        '&amp;', '&nbsp;', '&#160;', '&#x41;', '&#150;', '&#0;', '&#x110000;', '&#55296;', '&copy', '&bogus;', '& ', '&', '<', '< ',
+        '>', '"', "'", '=', ' text ', 'a', '\n', '\t', 'é', '<x-y>', '</x-y>', '<b:c>', '<img src="a>b">', '<a href="a>b">t',
+        '<![CDATA[x]]>', '<?pi?>', '</>', '</ a>', '<a\xa0href=x>', '<a href="x"title=y>', '<div', '<a href = "sp" >',
+        "<a href='x\" y'>", '\x00', '\r\n', '&lt;b&gt;', '<rt>', '</rt>',
+    ]
+
+    def seen(page):
+        span = lambda s: s and (s.tag, s.start, s.end)
+        return page.chunks, [(span(a), a.href, a.aria_label, span(a.parent), span(a.heading)) for a in page.anchors]
+
+    regular = 0
+    for _ in range(20000):
+        html = "".join(rng.choices(pieces, k=rng.randint(1, 12)))
+        assert seen(PageReader(html)) == seen(Parsed(html)), html
+        page = PageReader("")
+        regular += page._read_regular(html)
+    assert regular > 500
+
+
 def test_deep_and_long_pages_scan_in_linear_time():
     start = time.time()
     PageReader("<p><a href=x>" * 20000 + "</b>" * 20000)
