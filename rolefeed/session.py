@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,20 +37,23 @@ def build_session(master: str | None = None, app_name: str = "rolefeed", **conf)
 def shared_dir(spark: SparkSession) -> str:
     """A new, unused folder that every executor can reach.
 
-    It lies under ``spark.checkpoint.dir``. Only a local session may go without that setting: it
-    gets a temporary folder, remembered in the session so that later calls share it.
+    It lies under ``spark.checkpoint.dir``, or under the folder given to ``setCheckpointDir``.
+    There is no fallback: a job without such a folder fails before it does any work.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = spark.conf.get("rolefeed.local.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="rolefeed-")
-            spark.conf.set("rolefeed.local.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def ensure_scratch(spark: SparkSession, path: str) -> None:
+    """Give a local session without a checkpoint folder one. For entry points, benchmarks and
+    tests; a cluster names its own shared folder."""
+    set_already = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not set_already and spark.conf.get("spark.master", "local").startswith("local"):
+        spark.sparkContext.setCheckpointDir(path)
+
+
 def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
