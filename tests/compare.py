@@ -8,7 +8,8 @@ from collections import Counter
 
 import duckdb
 
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+         "double": "DOUBLE"}
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
