@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefeed.llm import decontaminate, jaccard_join, line_dedup, packing, quality
+from rolefeed.llm import (
+    archives, decontaminate, jaccard_join, line_dedup, neighbours, packing, quality, secret_scan,
+    token_counts, url_lists,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,3 +124,124 @@ select d.doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_
   coalesce(n_items, 0) as n_items, coalesce(items_sha256, sha256('')) as items_sha256,
   n_hit is not null as contaminated
 from d left join hits on d.doc_id = hits.doc_id left join items on d.doc_id = items.doc_id"""
+
+
+# --- operators with inputs derived from the tables -------------------------------------------
+
+
+def _edited(docs: DataFrame) -> DataFrame:
+    """Three edits for every document: near its start, middle and end, one that only inserts, one
+    that replaces and one that only deletes."""
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("bigint")
+    third = F.floor(size / 3).cast("bigint")
+    edit = F.struct(third.alias("start"), third.alias("stop"), F.lit(" (noted later)").alias("insert"))
+    swap = F.struct((2 * third).alias("start"), (2 * third + 7 + F.coalesce(F.col("doc_id"), F.lit(0)) % 5).alias("stop"), F.col("source").alias("insert"))
+    cut = F.struct((size - F.least(size, F.lit(12))).alias("start"), size.alias("stop"), F.lit("").alias("insert"))
+    return docs.withColumn("edits", F.array(edit, swap, cut))
+
+
+@query
+def op2_token_counts(spark, sf_dir):
+    """Token counts of all documents before and after three edits each."""
+    docs = _edited(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    trees = token_counts.build_trees(docs).withColumnsRenamed(
+        {"n_tokens": "n_tokens_before", "n_pretokens": "n_pretokens_before"}
+    )
+    return token_counts.apply_edits(trees).select(
+        "doc_id", "n_pretokens_before", "n_tokens_before", F.size("edits").cast("bigint").alias("n_edits"),
+        "n_pretokens", "n_tokens", "n_recounted",
+    )
+
+
+@query
+def op5_ann(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth vector."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op6_warc(spark, sf_dir):
+    """Pages through ARC files and WARC files."""
+    return archives.round_trip(_table(spark, sf_dir, "pages"))
+
+
+# Fetch times and list entries, made of the pages' own ids and hosts. ``{h}`` is a number made of
+# a key's digest. The same text runs in both engines.
+_START, _YEAR = 1704067200, 31536000
+
+
+def _captures(spark, sf_dir):
+    fetched = F.timestamp_seconds(F.lit(_START) + (F.col("page_id") * 7919) % _YEAR)
+    return _table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+
+
+def _list_entries(captures: DataFrame) -> DataFrame:
+    """Up to four dated entries for every domain, host and first path segment that occurs."""
+    keys = captures.select(F.explode(url_lists.url_keys(F.col("url"))["key"]).alias("key")).distinct()
+    h = F.conv(F.substring(F.md5("key"), 1, 7), 16, 10).cast("bigint")
+    actions = F.array(*map(F.lit, ("block", "remove", "allow", "remove")))
+    return keys.select("key", h.alias("h"), F.explode(F.sequence(F.lit(0), (h % 4).cast("int"))).alias("i")).select(
+        "key", F.timestamp_seconds(F.lit(_START) + (F.col("h") * (2 * F.col("i") + 3)) % _YEAR).alias("at"),
+        F.element_at(actions, ((F.col("h") + F.col("i")) % 4 + 1).cast("int")).alias("action"),
+    )
+
+
+@query
+def op7_url_filters(spark, sf_dir):
+    """Every page under the list entries that held when it was fetched."""
+    captures = _captures(spark, sf_dir)
+    return url_lists.apply_lists(captures, _list_entries(captures)).select(
+        "page_id", "url", "n_active", "verdict", "rule"
+    )
+
+
+@query
+def op9_secret_scans(spark, sf_dir):
+    """Secrets in all documents."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"
+    )
+
+
+_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+
+ORACLE["op7_url_filters"] = f"""
+with c as (select page_id, url, {_START} + (page_id * 7919) % {_YEAR} as t, rtrim({_HOST}, '.') as host,
+    list_filter(list_slice(string_split(regexp_extract(url, '^[^:]+://[^/?#]*/([^?#]*)', 1), '/'), 1, 2),
+      lambda s: s <> '') as segments from pages),
+ l as (select *, string_split(host, '.') as labels from c where host <> ''),
+ k as (select page_id, t, unnest(list_concat(
+     list_filter(list_transform(range(1, len(labels) + 1),
+       lambda i: struct_pack(key := array_to_string(labels[len(labels) - i + 1:], '.'), rank := i)),
+       lambda d: d.rank >= 2 or len(labels) = 1),
+     list_transform(range(1, len(segments) + 1),
+       lambda i: struct_pack(key := host || '/' || array_to_string(segments[1:i], '/'), rank := i + 1000))
+   )) as k from l),
+ keys as (select distinct k.key as key from k),
+ h as (select key, cast('0x' || substr(md5(key), 1, 7) as bigint) as h from keys),
+ e as (select key, h, unnest(range(0, h % 4 + 1)) as i from h),
+ entries as (select key, {_START} + (h * (2 * i + 3)) % {_YEAR} as at_s,
+   ['block', 'remove', 'allow', 'remove'][(h + i) % 4 + 1] as action from e),
+ states as (select key, at_s, max(list_position(['remove', 'allow', 'block'], action)) as place
+   from entries group by key, at_s),
+ held as (select key, place, at_s as since, lead(at_s) over (partition by key order by at_s) as until from states),
+ m as (select k.page_id, k.k.rank as rank, k.k.key as key, held.place from k join held
+   on k.k.key = held.key and k.t >= held.since and (held.until is null or k.t < held.until) where held.place > 1),
+ b as (select page_id, count(*) as n, max_by(key, rank) as rule, max_by(place, rank) as place from m group by page_id)
+select p.page_id, p.url, coalesce(b.n, 0) as n_active,
+  case b.place when 3 then 'block' when 2 then 'allow' else 'none' end as verdict, b.rule
+from pages p left join b on p.page_id = b.page_id"""
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+ORACLE["op6_warc"] = f"""
+with p as (select page_id, coalesce(html, '') as body from pages),
+ d as (select page_id, cast(octet_length(encode(body)) as bigint) as payload_bytes, sha1(body) as hex from p),
+ g as (select *, cast(array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+     lambda s: substr('{_BASE32}', cast((cast('0x' || substr(hex, 5 * i + 1, 5) as bigint) >> s) & 31 as bigint) + 1, 1)), '')), '')
+     as varchar) as payload_digest, max(page_id) over (partition by hex, payload_bytes) as first from d)
+select page_id, payload_bytes, payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id = first then null else first end as refers_to
+from g"""

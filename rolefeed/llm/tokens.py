@@ -30,7 +30,7 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(other)}
 
 
-class _Store(dict):
+class Store(dict):
     """What was looked up lately; the oldest half goes when it is full."""
 
     def __init__(self, compute):
@@ -67,8 +67,8 @@ class WordEncoder:
         self.letters = {chr(c): "".join(_byte_characters()[b] for b in chr(c).encode())
                         for c in range(0x100) if chr(c).isalpha()}
         self.latin = str.maketrans({k: v for k, v in self.letters.items() if not k.isascii()})
-        self.tails = _Store(self._whole)
-        self.runs = _Store(self._run)
+        self.tails = Store(self._whole)
+        self.runs = Store(self._run)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
