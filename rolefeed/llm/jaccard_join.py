@@ -14,9 +14,9 @@ The bound is exact. Partners of sizes ``n`` and ``m`` share at least ``t (n + m)
 and ``m >= t n``, so a partner lacks at most ``s = n - ceil(t n)`` of a set's tokens. A prefix is
 the ``p = s + 1 + slack`` smallest hashes. Of two partners, the one whose prefix ends at the smaller
 hash has all its prefix tokens that the other set holds in the other's prefix too, so the prefixes
-share at least ``t (n + m) / (1 + t) - (n - p)`` tokens, which is never less than ``p - s``. Up to
-``p - s - 1`` tokens may be left out of the query, which is how very frequent ones (a passage that
-a third of all documents quote) are avoided; a class with more of them uses the rarest.
+share at least ``r = t (n + m) / (1 + t) - (n - p)`` tokens, which is never less than ``p - s``. Any
+``r - 1`` tokens may be left out of the query. Three quarters of ``r`` are, the most frequent ones:
+that is how a passage that a third of all documents quote brings no two of them together.
 """
 
 from __future__ import annotations
@@ -36,9 +36,7 @@ from rolefeed.session import broadcast_if_small, settle
 SHINGLE = 5
 NUM, DEN = 75, 100  # partners: DEN * intersection >= NUM * union
 BANDS, BAND_WIDTH = 8, 2
-# Tokens in more groups than this are left out of queries as far as the bound allows.
-FREQUENT = 16
-SLACK = 16
+SLACK = 12  # more of it: a longer prefix, and more frequent tokens that a query can do without
 
 SKETCH = "key binary, n bigint, last bigint, prefix array<bigint>, bands array<bigint>"
 
@@ -53,7 +51,7 @@ def prefix_size(n):
 
 
 def slack(n):
-    return SLACK + n // 32
+    return SLACK + n // 64
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE):
@@ -107,11 +105,29 @@ def _sketch(texts: pa.Array) -> list[pa.Array]:
 
 
 def _full(texts: pa.Array) -> list[pa.Array]:
-    keys, sets = [], []
+    keys, sets, short = [], [], []
     for tokens in shingle_sets(texts):
         keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
         sets.append(tokens.tobytes())
-    return [pa.array(keys, pa.binary()), pa.array(sets, pa.binary())]
+        short.append(_short(tokens))
+    return [pa.array(keys, pa.binary()), pa.array(sets, pa.binary()), pa.array(short, pa.binary())]
+
+
+def _short(tokens: np.ndarray) -> bytes:
+    """The low bits of a set's tokens: 2 bytes of each, or 4 for large sets."""
+    return tokens.astype("<u2" if len(tokens) <= 4096 else "<u4").tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, n: int, m: int) -> bool:
+    """Whether the low bits of two sets of ``n`` and ``m`` tokens allow them to be partners. Low
+    bits agree at least as often as tokens do, so no partners are ruled out."""
+    x, y = np.frombuffer(a, "<u2" if n <= 4096 else "<u4"), np.frombuffer(b, "<u2" if m <= 4096 else "<u4")
+    if x.dtype != y.dtype:
+        x, y = x.astype("<u2"), y.astype("<u2")
+    (x, p), (y, q) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    shared = int(np.minimum(p[i], q[j]).sum())
+    return (NUM + DEN) * shared >= NUM * (n + m)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -119,6 +135,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * shared >= NUM * (len(a) + len(b) - shared)
 
 
+def _possible(arrays: list[pa.Array]) -> list[pa.Array]:
+    out = [may_be_similar(a, b, n, m) for a, b, n, m in zip(*(x.to_pylist() for x in arrays))]
+    return [pa.array(out, pa.bool_())]
+
+
 def _verdicts(arrays: list[pa.Array]) -> list[pa.Array]:
     out = [
         similar(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
@@ -151,23 +172,34 @@ class _Corpus:
         )
 
     def sets(self, keys: DataFrame) -> DataFrame:
-        """``key, tokens`` of some classes, read from one text of each."""
+        """``key, tokens, short`` of some classes, read from one text of each."""
         digests = settle(self.classes.join(keys, "key", "left_semi").select("digest"))
         texts = self.texts.select("text", digest_of(F.col("text")).alias("digest"))
         texts = texts.join(broadcast_if_small(digests), "digest", "left_semi")
         one = texts.groupBy("digest").agg(F.first("text").alias("text"))
-        return add_columns(one, [one["text"]], "key binary, tokens binary", lambda a: _full(a[0])).select("key", "tokens")
+        full = add_columns(one, [one["text"]], "key binary, tokens binary, short binary", lambda a: _full(a[0]))
+        return full.select("key", "tokens", "short")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs of classes ``a, b`` that are partners."""
         pairs = settle(pairs)
         keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        sets = settle(self.sets(keys))
-        both = (
-            pairs.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("right")), "b")
-            .join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("left")), "a")
+        sets = settle(self.sets(keys).withColumn("size", (F.octet_length("tokens") / 8).cast("int")))
+
+        def beside(pairs: DataFrame, *columns: str) -> DataFrame:
+            for side in ("b", "a"):
+                own = sets.select(F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+                pairs = pairs.join(own, side)
+            return pairs
+
+        # The low bits settle most pairs at a quarter of the bytes.
+        rough = beside(pairs, "short", "size")
+        rough = add_columns(
+            rough, [rough["a_short"], rough["b_short"], rough["a_size"], rough["b_size"]], "possible boolean", _possible
         )
-        checked = add_columns(both, [both["left"], both["right"]], "linked boolean", _verdicts)
+        close = settle(rough.where("possible").select("a", "b"))
+        both = beside(close, "tokens")
+        checked = add_columns(both, [both["a_tokens"], both["b_tokens"]], "linked boolean", _verdicts)
         return checked.where("linked").select("a", "b")
 
 
@@ -197,54 +229,64 @@ def _matrix_pairs(corpus: _Corpus, groups: DataFrame) -> DataFrame:
     matrix = cells.select("token", "grp").distinct()
     spread = matrix.groupBy("token").agg(F.count("*").alias("n_groups"))
 
-    # What a class must share with any partner; fewer shared tokens cannot qualify it.
     n = F.col("n")
     lacks = n - F.ceil(n * NUM / DEN).cast("bigint")
-    size = F.least(n, lacks + 1 + SLACK + F.floor(n / 32).cast("bigint"))
+    size = F.least(n, lacks + 1 + SLACK + F.floor(n / 64).cast("bigint"))
     by_class = Window.partitionBy("key")
-    asked = (
+    # A class that shares fewer tokens with all groups than with any partner has none.
+    asked = settle(
         cells.withColumn("outside", n - size).withColumn("least", size - lacks)
         .withColumn("have", F.count("*").over(by_class)).where("have >= least")
         .join(spread, "token")
         .withColumn("rank", F.row_number().over(by_class.orderBy(F.desc("n_groups"), "token")))
-        .withColumn("frequent", F.count_if(F.col("n_groups") > FREQUENT).over(by_class))
-        .withColumn("skipped", F.least("frequent", F.col("least") - 1))
-        .where("rank > skipped")
-        .select("token", "key", "n", "last", "grp", (F.col("outside") + F.col("skipped")).alias("unseen"))
+        .where(F.col("rank") > _skipped(F.col("least")))
+        .select("token", "key", "n", "last", "grp", "outside", "rank")
     )
-    asked = settle(asked)
 
     def must(partner_n: Column) -> Column:
-        """Fewest tokens shared with a partner of some size, of those that are asked for."""
-        return F.ceil((F.col("n") + partner_n) * NUM / (NUM + DEN)) - F.col("unseen")
-
-    sizes = cells.groupBy("grp").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"))
-    groups = matrix.join(sizes, "grp").withColumnRenamed("grp", "other")
+        """Fewest prefix tokens shared with a partner of some size."""
+        return F.ceil((n + partner_n) * NUM / (NUM + DEN)) - F.col("outside")
+
+    shapes = settle(cells.groupBy("grp").agg(
+        F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max("last").alias("high_last"),
+        F.min("key").alias("low_key"), F.max("key").alias("high_key"),
+    ).withColumnRenamed("grp", "other"))
+    groups = matrix.withColumnRenamed("grp", "other").join(shapes.drop("low_key", "high_key"), "other")
+    # Of two partners, the one whose prefix ends first finds the other.
     opened = (
         asked.join(groups, "token")
-        .where((F.col("grp") != F.col("other")) & (F.col("high_n") * DEN >= n * NUM) & (F.col("low_n") * NUM <= n * DEN))
-        .groupBy("key", "other").agg(
-            F.count("*").alias("shared"), F.first("n").alias("n"),
-            F.first("unseen").alias("unseen"), F.first("low_n").alias("low_n"),
-        )
-        .where(F.col("shared") >= must(F.greatest("low_n", n - lacks)))
+        .where((F.col("grp") != F.col("other")) & (F.col("high_last") >= F.col("last")))
+        .where((F.col("high_n") * DEN >= n * NUM) & (F.col("low_n") * NUM <= n * DEN))
+        .withColumn("must", must(F.greatest("low_n", n - lacks)))
+        .where(F.col("rank") > _skipped(F.col("must")))
+        .groupBy("key", "other").agg(F.count("*").alias("shared"), F.first("must").alias("must"))
+        .where(F.col("shared") >= F.col("must") - _skipped(F.col("must")))
         .select("key", "other")
     )
+    opened = settle(opened.join(shapes.select("other", "low_key", (F.col("low_key") == F.col("high_key")).alias("single")), "other"))
+    # A group of one class has been tested as such; in others the members are.
+    alone = opened.where("single").select("key", F.col("low_key").alias("partner"))
     members = cells.select(
         "token", F.col("grp").alias("other"), F.col("key").alias("partner"),
         F.col("n").alias("partner_n"), F.col("last").alias("partner_last"),
     )
-    # Of two partners, the one whose prefix ends first finds the other.
-    return (
-        asked.join(opened, "key").join(members, ["token", "other"])
+    inside = (
+        asked.join(opened.where("not single").select("key", "other"), "key").join(members, ["token", "other"])
         .where((F.col("partner_last") >= F.col("last")) & _could_match(n, F.col("partner_n")))
-        .groupBy("key", "partner").agg(
-            F.count("*").alias("shared"), F.first("n").alias("n"),
-            F.first("unseen").alias("unseen"), F.first("partner_n").alias("partner_n"),
-        )
-        .where(F.col("shared") >= must(F.col("partner_n")))
-        .select(F.greatest("key", "partner").alias("a"), F.least("key", "partner").alias("b")).distinct()
+        .withColumn("must", must(F.col("partner_n")))
+        .where(F.col("rank") > _skipped(F.col("must")))
+        .groupBy("key", "partner").agg(F.count("*").alias("shared"), F.first("must").alias("must"))
+        .where(F.col("shared") >= F.col("must") - _skipped(F.col("must")))
+        .select("key", "partner")
     )
+    return alone.unionByName(inside).select(
+        F.greatest("key", "partner").alias("a"), F.least("key", "partner").alias("b")
+    ).distinct()
+
+
+def _skipped(must: Column) -> Column:
+    """How many of the most frequent tokens a query does without."""
+    return F.floor(must * 3 / 4)
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
