@@ -56,7 +56,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     ``ids`` is NULL unless asked for."""
     path = vocabulary or default_vocabulary()
     source = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
-    cut = add_columns(source, [source["text"]], PIECES, lambda a: _cut(a[0], path, capacity, end_id, with_ids))
+    # Larger blocks repeat more words.
+    cut = add_columns(source, [source["text"]], PIECES, lambda a: _cut(a[0], path, capacity, end_id, with_ids), rows=1 << 14)
     return cut.select("doc_id", F.explode("cuts").alias("c")).select("doc_id", "c.*")
 
 

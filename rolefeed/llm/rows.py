@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,12 +29,13 @@ def digest_of(*columns: Column) -> Column:
 
 def add_columns(
     df: DataFrame, inputs: list[Column], schema: str | StructType,
-    function: Callable[[list[pa.Array]], Iterator[list[pa.Array]] | list[pa.Array]],
+    function: Callable[[list[pa.Array]], list[pa.Array]], rows: int = 2048,
 ) -> DataFrame:
     """``df`` with columns computed in Python from some of its values, one batch at a time.
 
-    ``function`` takes the input arrays and returns the new arrays, row for row. Existing
-    columns of the same names are replaced, others pass through as they are.
+    ``function`` takes the input arrays and returns the new arrays, row for row; it is given at
+    most ``rows`` of them at once. Existing columns of the same names are replaced, others pass
+    through as they are.
     """
     new = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     row = fresh("row")
@@ -48,9 +49,13 @@ def add_columns(
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                made = function([batch.column(i + 1) for i in range(len(names))])
-                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[row, *new.names])
+            for low in range(0, batch.num_rows, rows):
+                part = batch.slice(low, rows)
+                made = function([part.column(i + 1) for i in range(len(names))])
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=[row, *new.names])
+                del part, made
+            # Workers live on between stages; what a batch took goes back.
+            pa.default_memory_pool().release_unused()
 
     mapped = taken.mapInArrow(run, out)
     return mapped.select(*[mapped[row][c].alias(c) for c in kept], *new.names)

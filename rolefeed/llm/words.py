@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text hashed together; bounds a task's memory, not what is read.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_VALUES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
