@@ -35,9 +35,8 @@ def _other_digits() -> tuple[str, str]:
 def _to_number(digits: Column) -> Column:
     # Beyond BIGINT the exact value no longer matters: no cap admits it.
     significant = F.ltrim(F.translate(digits, *_other_digits()), F.lit("0"))
-    return (
-        F.when(F.length(significant) > 18, F.lit(_LARGEST))
-        .otherwise(F.coalesce(significant.try_cast("bigint"), F.lit(0).cast("bigint")))
+    return F.when(significant == "", F.lit(0).cast("bigint")).otherwise(
+        F.coalesce(significant.try_cast("bigint"), F.lit(_LARGEST))
     )
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolefeed.session import broadcast_if_small, settle
@@ -43,7 +44,7 @@ def digest_lines(df: DataFrame) -> DataFrame:
     # Settled, so that a list of usual size is known to fit a broadcast and the postings stay put.
     companies = broadcast_if_small(settle(companies))
     frame = F.explode(F.array(
-        F.struct(F.lit(HEADER).alias("part"), F.concat(F.lit("== "), "company", F.lit(" ==")).alias("line")),
+        F.struct(F.lit(HEADER).alias("part"), F.concat(F.lit("== "), F.coalesce("company", F.lit("None")), F.lit(" ==")).alias("line")),
         F.struct(F.lit(BLANK).alias("part"), F.lit("").alias("line")),
     ))
     framing = companies.select("*", frame.alias("f")).select(
@@ -51,7 +52,9 @@ def digest_lines(df: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint").alias("company_ord"), F.lit(0).cast("bigint").alias("posting_ord"),
         "company", "f.line",
     )
-    postings = df.join(companies, "company").select(
+    # A posting without a company name is listed under the name None.
+    named = companies.withColumnRenamed("company", "of")
+    postings = df.join(named, df["company"].eqNullSafe(named["of"])).select(
         "first_company_ord", "first_posting_ord", F.lit(POSTING).alias("part"),
         F.col("company_ord").cast("bigint").alias("company_ord"), "posting_ord", "company",
         digest_line(F.col("title"), F.col("yoe_note"), F.col("url")).alias("line"),
@@ -59,9 +62,22 @@ def digest_lines(df: DataFrame) -> DataFrame:
     return framing.unionByName(postings)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def write_digest(df: DataFrame, path: str) -> bool:
-    """Write the digest as text files whose names follow its order; nothing for no postings."""
+    """Write the digest as text files whose names follow its order. For no postings nothing is
+    written, but a digest that an earlier try left is emptied."""
     if df.isEmpty():
+        if _exists(df.sparkSession, path):
+            df.select(F.lit("").alias("line")).limit(0).write.mode("overwrite").text(path)
         return False
     digest_lines(df).orderBy(*DIGEST_ORDER).select("line").write.mode("overwrite").text(path)
     return True

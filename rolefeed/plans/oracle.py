@@ -236,8 +236,8 @@ ORACLE = {
      || {_part(1)} || '/' || {_part(3)} || '/jobs'
    when 'amazon' then 'https://www.amazon.jobs/en/search.json' else url end as endpoint,
    case source_type when 'workday' then 20 when 'amazon' then 100 else 1 end as lim,
-   case source_type when 'workday' then 500 when 'amazon' then 1000 else 0 end as cap from routed),
- o as (select *, unnest(range(0, cap + 1, lim)) as page_offset from e where endpoint is not null)
+   case when source_type in ('workday', 'amazon') then greatest(coalesce(total, 0), 1) else 1 end as up from routed),
+ o as (select *, unnest(range(0, up, lim)) as page_offset from e where endpoint is not null)
  select company_ord, source_type, endpoint, case when source_type = 'workday' then 'POST' else 'GET' end as method,
    page_offset, case source_type
      when 'workday' then concat('{{"limit":20,"offset":', cast(page_offset as varchar), ',"searchText":""}}')
@@ -249,8 +249,8 @@ ORACLE = {
       where company_ord % 6 in (4, 5) group by company_ord""",
     "seen_append": _postings(f""",
  runs as (select * replace (cast({_SINCE} as int) as run_id) from p)""")
-    + f"""select cast(run_id as bigint) as run_id, company_ord, posting_ord, company, title, url
-      from ({_first('runs', 'run_id, ' + _ORD)})""",
+    + f"""select cast(run_id as bigint) as run_id, company_ord, posting_ord, company, title, url,
+      timestamp '2025-01-01' as first_seen from ({_first('runs', 'run_id, ' + _ORD)})""",
     "clean_text": f"select doc_id, {_clean('text')} as cleaned from documents",
     "html_to_text": f"select page_id, {_clean(_unescape(_TEXT_OF_PAGE))} as plain from pages",
     "description_text": _postings() + f"select posting_ord, {PLAIN} as plain from p",
@@ -266,8 +266,8 @@ ORACLE = {
     + f"select posting_ord, {NOTE} as note from y",
     "rendered_title": _postings("""
  , c as (select posting_ord, title,
-    case when posting_ord % 3 = 0 then substring(title, 1, cast(posting_ord % 8 as int)) end as heading,
-    coalesce(case when posting_ord % 2 = 0 then substring(url, 1, cast(posting_ord % 40 as int)) else '' end, '') as aria
+    case when posting_ord % 3 = 0 then company end as heading,
+    coalesce(case posting_ord % 4 when 0 then url when 1 then company else '' end, '') as aria
     from p),
  v as (select *, case when length(heading) > 4 then heading else title end as visible from c)""")
     + "select posting_ord, case when length(aria) > length(visible) then aria else visible end as title from v",

@@ -108,7 +108,7 @@ def _damaged(spark, sf_dir):
 @query
 def quarantine(spark, sf_dir):
     """What is left when a company with any unusable record is left out."""
-    return responses.usable(_damaged(spark, sf_dir)).select("company_ord", "source_type", "posting_ord", "title", "url")
+    return responses.usable(settle(_damaged(spark, sf_dir))).select("company_ord", "source_type", "posting_ord", "title", "url")
 
 
 @query
@@ -155,7 +155,9 @@ def seen_append(spark, sf_dir):
     for run_id, landed in enumerate((F.col("run_id") < SPLIT_RUN, F.col("run_id") >= SPLIT_RUN)):
         seen_store.record_new(history.where(landed), path, run_id, RUN_TS)
     seen_store.record_new(history.where(F.col("run_id") >= SPLIT_RUN), path, 1, RUN_TS)
-    return seen_store.read_seen(spark, path).select("run_id", "company_ord", "posting_ord", "company", "title", "url")
+    return seen_store.read_seen(spark, path).select(
+        "run_id", "company_ord", "posting_ord", "company", "title", "url", "first_seen"
+    )
 
 
 # --- scalar functions ---------------------------------------------------------------------
@@ -235,9 +237,9 @@ def rendered_title(spark, sf_dir):
     """Title choice over headings, link texts and aria-labels of every relative length."""
     cards = inputs.postings(spark, sf_dir).select(
         "posting_ord",
-        F.expr("case when posting_ord % 3 = 0 then substring(title, 1, cast(posting_ord % 8 as int)) end").alias("heading"),
+        F.expr("case when posting_ord % 3 = 0 then company end").alias("heading"),
         "title",
-        F.expr("case when posting_ord % 2 = 0 then substring(url, 1, cast(posting_ord % 40 as int)) else '' end").alias("aria"),
+        F.expr("case posting_ord % 4 when 0 then url when 1 then company else '' end").alias("aria"),
     )
     chosen = text.card_title(F.col("heading"), F.col("title"), F.coalesce("aria", F.lit("")))
     return cards.select("posting_ord", chosen.alias("title"))

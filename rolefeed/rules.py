@@ -52,9 +52,9 @@ UNTITLED_LINK = "(untitled link — check URL)"
 DEFAULT_LOCATION = "India"
 NOT_STATED = "YOE not stated"
 
-# Rows per request and the last offset that is still requested.
-WORKDAY_LIMIT, WORKDAY_LAST_OFFSET = 20, 500
-AMAZON_LIMIT, AMAZON_LAST_OFFSET = 100, 1000
+# Rows per request.
+WORKDAY_LIMIT = 20
+AMAZON_LIMIT = 100
 
 # --- reading user-edited rules ------------------------------------------------------------
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,13 @@ from rolefeed.functions.choice import first_match
 from rolefeed.functions.urls import url_slug, workday_board
 
 
-def page_offsets(total: Column, limit: int, last: int) -> Column:
-    """0 and every multiple of ``limit`` below ``total``, up to ``last``. A NULL total is 0."""
+def page_offsets(total: Column, limit: int, last: int | None = None) -> Column:
+    """0 and every multiple of ``limit`` below ``total``, up to ``last`` if one is given. A NULL
+    total is 0."""
     highest = F.greatest(F.coalesce(total, F.lit(0)) - 1, F.lit(0))
-    highest = F.least(highest - highest % limit, F.lit(last)).cast("bigint")
+    highest = (highest - highest % limit).cast("bigint")
+    if last is not None:
+        highest = F.least(highest, F.lit(last).cast("bigint"))
     return F.sequence(F.lit(0).cast("bigint"), highest, F.lit(limit).cast("bigint"))
 
 
@@ -25,7 +30,7 @@ def _once(endpoint: Column) -> Column:
     )
 
 
-def _paged(endpoint: Column, method: str, limit: int, last: int, before: str, after: str) -> Column:
+def _paged(endpoint: Column, method: str, limit: int, last: int | None, before: str, after: str) -> Column:
     # Without an endpoint there is no request at all.
     return F.struct(
         endpoint.alias("endpoint"), F.lit(method).alias("method"),
@@ -34,12 +39,14 @@ def _paged(endpoint: Column, method: str, limit: int, last: int, before: str, af
     )
 
 
-def fetch_plan(catalog: DataFrame) -> DataFrame:
+def fetch_plan(catalog: DataFrame, last_offsets: Mapping[str, int] | None = None) -> DataFrame:
     """One row per request for a routed catalog with a ``total`` column: endpoint, method, page
     offset and, for paged platforms, what is sent along (a JSON body or a query string).
 
-    A Workday company whose address does not parse gets none.
+    A Workday company whose address does not parse gets none. All pages are requested, unless
+    ``last_offsets`` names the last offset of a paged platform.
     """
+    last_offsets = last_offsets or {}
     url, slug = F.col("url"), url_slug(F.col("url"))
     tenant, host, site = workday_board(url)
     workday = F.concat(
@@ -56,11 +63,11 @@ def fetch_plan(catalog: DataFrame) -> DataFrame:
             F.lit("https://api.smartrecruiters.com/v1/companies/"), slug, F.lit("/postings"))),
         "ashby": _once(F.concat(F.lit("https://api.ashbyhq.com/posting-api/job-board/"), slug)),
         "workday": _paged(
-            workday, "POST", rules.WORKDAY_LIMIT, rules.WORKDAY_LAST_OFFSET,
+            workday, "POST", rules.WORKDAY_LIMIT, last_offsets.get("workday"),
             '{"limit":%d,"offset":' % rules.WORKDAY_LIMIT, ',"searchText":""}'),
         "amazon": _paged(
             F.lit("https://www.amazon.jobs/en/search.json"), "GET",
-            rules.AMAZON_LIMIT, rules.AMAZON_LAST_OFFSET,
+            rules.AMAZON_LIMIT, last_offsets.get("amazon"),
             "base_query=&offset=", "&result_limit=%d&sort=recent" % rules.AMAZON_LIMIT),
     }
     cases = ((F.col("source_type") == name, request) for name, request in requests.items())

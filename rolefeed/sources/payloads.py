@@ -238,7 +238,7 @@ def quarantined(rows: DataFrame) -> DataFrame:
 
 def usable(rows: DataFrame, on_bad: str = "company") -> DataFrame:
     """Postings without failures. One bad record fails its whole company; with
-    ``on_bad="row"`` only itself."""
+    ``on_bad="row"`` only itself. Both parts read ``rows``, so give it settled rows."""
     good = rows.where("bad is null").drop("bad")
     if on_bad == "row":
         return good

@@ -1,7 +1,8 @@
 """The table of everything ever reported.
 
-A parquet folder partitioned by ``run_id``. A run replaces exactly its own partition and compares
-itself with earlier runs only, so repeating a run changes nothing.
+A parquet folder partitioned by ``run_id``. A run replaces exactly its own partition, also when it
+finds nothing, and compares itself with all other runs, earlier and later. So repeating a run
+changes nothing, and a url stays in one run even if an older run is repeated with more postings.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from rolefeed.operators.dedup import RUN_ORDER, first_per_url, not_seen
 from rolefeed.session import BROADCAST_BYTES, fits_broadcast, settle
 
 
-def read_seen(spark: SparkSession, path: str, before_run: int | None = None) -> DataFrame:
-    """Rows reported before a run (or ever); empty if nothing has been written yet."""
+def read_seen(spark: SparkSession, path: str, except_run: int | None = None) -> DataFrame:
+    """Rows ever reported, but for one run's; empty if nothing has been written yet."""
     try:
         seen = spark.read.schema(schemas.SEEN).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schemas.SEEN)
-    return seen if before_run is None else seen.where(F.col("run_id") < before_run)
+    return seen if except_run is None else seen.where(F.col("run_id") != except_run)
 
 
 def append_run(new: DataFrame, path: str, run_id: int, run_ts: dt.datetime) -> None:
@@ -34,13 +35,11 @@ def append_run(new: DataFrame, path: str, run_id: int, run_ts: dt.datetime) -> N
     rows = new.select(
         "url", "company", "title", F.lit(run_ts.isoformat()).cast("timestamp_ntz").alias("first_seen"),
         F.col("company_ord").cast("bigint").alias("company_ord"), "posting_ord",
-        note.alias("yoe_note"), F.lit(run_id).cast("bigint").alias("run_id"),
-    )
-    # Rebalanced, so that many small runs do not leave very many tiny files.
-    (
-        rows.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id").parquet(path)
+        note.alias("yoe_note"),
     )
+    # Rebalanced, so that many small runs do not leave very many tiny files. The run's own folder
+    # is overwritten as a whole, so a run that finds nothing leaves nothing.
+    rows.hint("rebalance").write.mode("overwrite").parquet(f"{path}/run_id={int(run_id)}")
 
 
 def record_new(
@@ -55,7 +54,7 @@ def record_new(
     """
     spark = df.sparkSession
     candidates = settle(first_per_url(df, order))
-    seen = read_seen(spark, path, before_run=run_id).select("url")
+    seen = read_seen(spark, path, except_run=run_id).select("url")
     urls = candidates.select("url").where("url is not null")
     if fits_broadcast(urls, limit):
         seen = seen.join(F.broadcast(urls), "url", "left_semi")

@@ -15,6 +15,7 @@ from rolefeed.plans.oracle import _YEARS
 from rolefeed.session import shared_dir
 from rolefeed.sources.catalog import lookup, read_catalog, routed
 from rolefeed.sources.fetch_plan import fetch_plan
+from rolefeed.sources.seen import read_seen, record_new
 
 NOW = dt.datetime(2025, 1, 1)
 
@@ -181,7 +182,7 @@ def test_lookup(spark, world):
 
 @pytest.mark.parametrize("total, workday, amazon", [
     (None, 1, 1), (0, 1, 1), (1, 1, 1), (20, 1, 1), (21, 2, 1), (100, 5, 1), (101, 6, 2), (500, 25, 5), (501, 26, 6),
-    (521, 26, 6), (10**6, 26, 11),
+    (521, 27, 6), (10**5, 5000, 1000),
 ])
 def test_request_counts(spark, total, workday, amazon):
     catalog = spark.createDataFrame([
@@ -194,6 +195,42 @@ def test_request_counts(spark, total, workday, amazon):
     assert max(r.page_offset for r in rows if r.company_ord == 0) == (workday - 1) * rules.WORKDAY_LIMIT
 
 
+def test_last_offsets(spark):
+    catalog = spark.createDataFrame([
+        (0, "https://a.wd1.myworkdayjobs.com/S", "workday", 10**6), (1, "u", "amazon", 10**6),
+    ], "company_ord long, url string, source_type string, total long")
+    rows = fetch_plan(catalog, {"workday": 500, "amazon": 1000}).collect()
+    assert [sum(r.company_ord == c for r in rows) for c in (0, 1)] == [26, 11]
+
+
+def test_repeated_runs(spark, tmp_path):
+    def postings(*urls):
+        rows = [(0, i, "C", "t", u, None) for i, u in enumerate(urls)]
+        return spark.createDataFrame(rows, "company_ord long, posting_ord long, company string, title string, url string, yoe_note string")
+
+    path, digest = shared_dir(spark), str(tmp_path / "digest")
+
+    def once(run_id, *urls):
+        new = record_new(postings(*urls), path, run_id, NOW)
+        report.write_digest(new, digest)
+        return sorted(r.url for r in new.collect())
+
+    assert once(1, "a") == ["a"]
+    assert spark.read.text(digest).count() > 0
+    assert once(1) == [] and spark.read.text(digest).count() == 0
+    assert once(1, "a") == ["a"] and once(2, "a", "b") == ["b"]
+    # An older run again, with a posting that a later run has reported meanwhile.
+    assert once(1, "a", "b", "c") == ["a", "c"]
+    assert sorted((r.run_id, r.url) for r in read_seen(spark, path).collect()) == [(1, "a"), (1, "c"), (2, "b")]
+
+
+def test_company_without_a_name(spark):
+    rows = spark.createDataFrame([(0, 0, None, "t", "u", "n"), (1, 0, "B", "t", "v", "n")],
+                                 "company_ord long, posting_ord long, company string, title string, url string, yoe_note string")
+    lines = [r.line for r in report.digest_lines(rows).orderBy(*report.DIGEST_ORDER).collect()]
+    assert lines[0] == "== None ==" and lines[3] == "== B ==" and len(lines) == 6
+
+
 def test_shared_dir_needs_a_setting_on_a_cluster(spark):
     class Conf(dict):
         def get(self, key, default=None):
@@ -205,6 +242,10 @@ def test_shared_dir_needs_a_setting_on_a_cluster(spark):
     class Session:
         def __init__(self, **conf):
             self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+            self.sparkContext = self
+
+        def getCheckpointDir(self):
+            return None
 
     with pytest.raises(ValueError):
         shared_dir(Session(spark_master="yarn"))
