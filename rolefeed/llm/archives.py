@@ -112,7 +112,8 @@ class ArcRecord(NamedTuple):
 
 
 def read_arc(content: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file, the version block first."""
+    """The records of an ARC file, the version block first. A file without bytes, as an empty
+    table leaves, holds none."""
     reader, version = Reader(content), 0
     while (line := reader.line()) is not None:
         if not line.strip():
@@ -133,8 +134,6 @@ def read_arc(content: bytes) -> Iterator[ArcRecord]:
                 raise ArchiveError(f"fields are missing: {text[:80]!r}")
             block = reader.take(_length(parts[-1], text))
         yield ArcRecord(parts[0], parts[1], parts[2], parts[3], block, version)
-    if not version:
-        raise ArchiveError("empty file")
 
 
 def _length(field: str, line: str) -> int:
@@ -258,13 +257,13 @@ def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        version, first = part % 2 + 1, True
+        version = part % 2 + 1
+        about = f"{version} 0 rolefeed\n{ARC_FIELDS[version]}\n".encode()
+        start = f"filedesc://part-{part}.arc 0.0.0.0 20240101000000 text/plain {len(about)}\n".encode() + about
+        # A partition without pages is an archive of its version block.
+        yield pa.RecordBatch.from_arrays([pa.array([start], pa.binary())], names=["record"])
         for batch in batches:
             out = []
-            if first:
-                about = f"{version} 0 rolefeed\n{ARC_FIELDS[version]}\n".encode()
-                out.append(f"filedesc://part-{part}.arc 0.0.0.0 20240101000000 text/plain {len(about)}\n".encode() + about)
-                first = False
             for one, where, body in zip(*(c.to_pylist() for c in batch.columns)):
                 named = "" if one is None else f"{PAGE_HEADER}: {one}\r\n"
                 head = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{named}"
