@@ -79,8 +79,11 @@ def role_filter(
 def with_experience(df: DataFrame, max_years: int = rules.MAX_YEARS) -> DataFrame:
     """Add ``yoe`` (years asked for), ``yoe_note`` and ``yoe_ok`` (not above the cap)."""
     text = F.col("description") if "description" in df.columns else F.lit(None).cast("string")
+    kept = [c for c in df.columns if c != "yoe"]
+    # As a generator's output the number is not computed again where it is tested and noted.
+    years = F.explode_outer(F.array(min_years_required(text))).alias("yoe")
     return (
-        df.withColumn("yoe", min_years_required(text))
+        df.select(*kept, years)
         .withColumn("yoe_note", experience_note(F.col("yoe")))
         .withColumn("yoe_ok", F.coalesce(F.col("yoe") <= max_years, F.lit(True)))
     )
@@ -91,14 +94,25 @@ def experience_gate(df: DataFrame, max_years: int = rules.MAX_YEARS) -> DataFram
     return with_experience(df, max_years).where("yoe_ok").drop("yoe", "yoe_ok")
 
 
-# Rules kept in a table instead of a parameter. The table becomes one pattern through a scalar
-# subquery, so postings are neither joined nor shuffled, and a title is scanned once for all
-# terms. regexp_instr keeps the compiled pattern between rows; rlike does so for literals only.
+# Rules kept in a table instead of a parameter, of any size. Distinct titles meet the terms that
+# begin like some part of them; what is found is joined back. Nothing is gathered: Spark
+# broadcasts the terms or the titles found if they are small, and shuffles both sides if not.
 
+KEY_CHARS = 4
 
-def _found(rule_table: DataFrame, one_term: Column) -> Column:
-    pattern = rule_table.select(F.array_join(F.collect_set(one_term), "|")).scalar()
-    return (pattern != "") & (F.regexp_instr(F.lower("title"), pattern) > 0)
+
+def _titles_with(df: DataFrame, terms: DataFrame) -> DataFrame:
+    """Distinct lower-cased titles that contain a ``term`` and match its ``pattern``, if it has one."""
+    key = F.substring("term", 1, KEY_CHARS)
+    terms = terms.where("term is not null").distinct().withColumn("part", key)
+    size = F.length("found")
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(KEY_CHARS)), lambda k: F.transform(
+        F.sequence(F.lit(1), F.greatest(size - k + 1, F.lit(1))), lambda i: F.col("found").substr(i, k)
+    )))
+    titles = df.select(F.lower("title").alias("found")).where("found is not null").distinct()
+    near = titles.select("found", F.explode(F.array_distinct(parts)).alias("part")).join(terms, "part")
+    fits = F.col("pattern").isNull() | (F.regexp_instr(F.col("found"), F.col("pattern")) > 0)
+    return near.where(F.contains("found", "term") & fits).select("found").distinct()
 
 
 def _quoted(term: Column) -> Column:
@@ -106,15 +120,17 @@ def _quoted(term: Column) -> Column:
 
 
 def matching_rule_table(df: DataFrame, rule_table: DataFrame) -> DataFrame:
-    """Postings whose title contains any ``term`` of a rule table."""
-    term = F.lower("term")
-    return df.where(_found(rule_table, F.when(term == "", "(?:)").otherwise(_quoted(term))))
+    """Postings whose title contains any ``term`` of a rule table. NULL terms are left out."""
+    terms = rule_table.select(F.lower("term").alias("term"), F.lit(None).cast("string").alias("pattern"))
+    found = _titles_with(df, terms)
+    return df.join(found, F.lower(df["title"]) == found["found"], "left_semi")
 
 
 def without_rule_table(df: DataFrame, rule_table: DataFrame) -> DataFrame:
-    """Postings whose title has no ``term`` of a rule table as a whole word."""
+    """Postings whose title has no ``term`` of a rule table as a whole word. A NULL title has none."""
     term = F.trim(F.lower("term"))
     before = F.when(term.rlike(f"^{_WORD}"), f"(?<!{_WORD})").otherwise(f"(?<={_WORD})")
     after = F.when(term.rlike(f"{_WORD}$"), f"(?!{_WORD})").otherwise(f"(?={_WORD})")
     one = F.when(term == "", F.lit(_WORD)).otherwise(F.concat(before, _quoted(term), after))
-    return df.where(~_found(rule_table, one))
+    found = _titles_with(df, rule_table.select(term.alias("term"), one.alias("pattern")))
+    return df.join(found, F.lower(df["title"]) == found["found"], "left_anti")
