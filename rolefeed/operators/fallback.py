@@ -22,6 +22,7 @@ def generic_postings(
     boilerplate: Sequence[str] = rules.BOILERPLATE_TITLES,
     filter_rendered: bool = False,
     context: bool = False,
+    location: str = rules.DEFAULT_LOCATION,
 ) -> DataFrame:
     """Postings of the companies without a known platform.
 
@@ -46,7 +47,7 @@ def generic_postings(
         return static
     # Companies are removed before their pages are parsed.
     unparsed = rendered_pages.join(found, "company_ord", "left_anti")
-    cards = job_cards(unparsed, fragments, boilerplate, keys, context)
+    cards = job_cards(unparsed, fragments, boilerplate, keys, context, location)
     if filter_rendered:
         cards = cards.where(title_matches(F.col("title"), keywords))
     around = ["context_text"] if context else []

@@ -113,12 +113,8 @@ def run_metrics(new: DataFrame, gated: DataFrame) -> DataFrame:
 
 
 def write_metrics(metrics: DataFrame, path: str, run_id: int) -> None:
-    """Keep a run's metrics in its own partition; writing them again replaces them."""
-    (
-        metrics.withColumn("run_id", F.lit(run_id).cast("bigint"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id").parquet(path)
-    )
+    """Keep a run's metrics in its own partition; writing them again, also none, replaces them."""
+    metrics.write.mode("overwrite").parquet(f"{path}/run_id={int(run_id)}")
 
 
 def preview(df: DataFrame, n: int = 10) -> DataFrame:

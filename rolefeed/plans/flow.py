@@ -16,7 +16,7 @@ from rolefeed.operators.filters import title_matches, too_senior, with_experienc
 from rolefeed.operators.report import company_metrics, run_metrics, write_digest, write_metrics
 from rolefeed.session import broadcast_if_small, settle
 from rolefeed.sources.catalog import routed
-from rolefeed.sources.payloads import normalise_all, usable, with_catalog
+from rolefeed.sources.payloads import normalise_all, quarantined, usable, with_catalog
 from rolefeed.sources.seen import record_new
 
 
@@ -30,6 +30,7 @@ class Rules:
     use_rendered: bool = True
     filter_rendered: bool = False
     on_bad: str = "company"
+    location: str = rules.DEFAULT_LOCATION
 
     @classmethod
     def read(cls, spark: SparkSession, keywords: str, seniority: str, experience: str, **other) -> Rules:
@@ -42,24 +43,31 @@ class Rules:
         )
 
 
+def platform_rows(catalog: DataFrame, payloads: DataFrame, chosen: Rules = Rules()) -> DataFrame:
+    """Postings of the wanted roles from platform responses, and the records that cannot be used.
+
+    Responses are parsed once; only what can still matter is kept.
+    """
+    adapted = routed(catalog).where(F.col("source_type") != rules.GENERIC)
+    rows = normalise_all(with_catalog(payloads, broadcast_if_small(adapted)))
+    title = F.col("title")
+    wanted = title_matches(title, chosen.keywords) & ~too_senior(title, chosen.exclude)
+    return settle(rows.where(F.col("bad").isNotNull() | wanted))
+
+
 def matching_postings(
     catalog: DataFrame,
-    payloads: DataFrame,
+    platform: DataFrame,
     static_pages: DataFrame,
     rendered_pages: DataFrame,
     chosen: Rules = Rules(),
 ) -> DataFrame:
     """Postings of the wanted roles from every source, with ``yoe_note`` and ``yoe_ok``.
 
-    Experience is judged last: titles are tested before any description is parsed.
+    ``platform`` comes from ``platform_rows``. Experience is judged last: titles are tested before
+    any description is parsed.
     """
     companies = routed(catalog)
-    adapted = companies.where(F.col("source_type") != rules.GENERIC)
-    rows = normalise_all(with_catalog(payloads, broadcast_if_small(adapted)))
-    title = F.col("title")
-    wanted = title_matches(title, chosen.keywords) & ~too_senior(title, chosen.exclude)
-    # Responses are parsed once; only what can still matter is kept.
-    platform = usable(settle(rows.where(F.col("bad").isNotNull() | wanted)), chosen.on_bad)
     generic = companies.where(F.col("source_type") == rules.GENERIC).select(
         "company_ord", F.col("name").alias("company")
     )
@@ -68,9 +76,9 @@ def matching_postings(
         static_pages.join(generic, "company_ord"),
         rendered_pages.join(generic, "company_ord") if chosen.use_rendered else None,
         chosen.keywords, chosen.exclude, chosen.fragments, chosen.boilerplate,
-        chosen.filter_rendered,
+        chosen.filter_rendered, location=chosen.location,
     )
-    both = platform.unionByName(html, allowMissingColumns=True)
+    both = usable(platform, chosen.on_bad).unionByName(html, allowMissingColumns=True)
     return with_experience(both, chosen.max_years).drop("description")
 
 
@@ -80,6 +88,7 @@ class Outcome(NamedTuple):
     new: DataFrame  # its rows of the seen table
     companies: DataFrame  # matched and dropped postings per catalog company
     totals: DataFrame  # one row: new postings, postings dropped for experience
+    quarantined: DataFrame  # records that could not be used, and why
 
 
 def run(
@@ -98,12 +107,17 @@ def run(
 
     The digest is made from the committed rows, so a lost one can be made again.
     """
-    matches = settle(matching_postings(catalog, payloads, static_pages, rendered_pages, chosen))
+    platform = platform_rows(catalog, payloads, chosen)
+    matches = settle(matching_postings(catalog, platform, static_pages, rendered_pages, chosen))
     new = record_new(matches.where("yoe_ok"), seen_path, run_id, run_ts)
     if digest_path:
         write_digest(new, digest_path)
     companies, totals = company_metrics(catalog, matches), run_metrics(new, matches)
+    bad = quarantined(platform).select(
+        "company_ord", "company", "source_type", "posting_ord", F.col("bad").alias("reason")
+    )
     if metrics_path:
         write_metrics(companies, f"{metrics_path}/companies", run_id)
         write_metrics(totals, f"{metrics_path}/totals", run_id)
-    return Outcome(new, companies, totals)
+        write_metrics(bad, f"{metrics_path}/quarantined", run_id)
+    return Outcome(new, companies, totals, bad)

@@ -211,7 +211,7 @@ _LANDING = "case " + " ".join(
 
 ORACLE = {
     "flagship": _postings(NEW) + "select company_ord, posting_ord, company, title, url, yoe_note from new",
-    "catalog_scan": CATALOG,
+    "catalog_scan": f"select company_ord, name, url, type from ({CATALOG})",
     **{f"src_{name}": _source(name) for name in _PLATFORMS},
     "union_sources": _postings(ALL_SOURCES)
     + "select company_ord, source_type, posting_ord, title, url from united",
@@ -288,6 +288,9 @@ ORACLE = {
       count(*) as records from lineitem join routed on l_suppkey = company_ord group by source_type""",
     "fallback": LINKS + STATIC_HITS + _either(_LOS_LAS)
     + " select page_id as company_ord, source_type, link_ord as posting_ord, title, full_url as url from kept",
+    "static_only": LINKS + STATIC_HITS + _either(_LOS_LAS)
+    + " select page_id as company_ord, source_type, link_ord as posting_ord, title, full_url as url from kept"
+    + " where source_type = 'static'",
     "rendered_roles": LINKS + STATIC_HITS + f""" select page_id, link_ord, text as title, full_url,
       '{rules.DEFAULT_LOCATION}' as location from (select *, text as title from cards) where not {_LOS_LAS}""",
     "new_postings": _postings(f""",
@@ -321,6 +324,11 @@ ORACLE = {
     + """select cast(n_nationkey as bigint) as company_ord, n_name as company,
       count(*) filter (where yoe_ok) as matched, count(*) filter (where not yoe_ok) as dropped
       from nation left join flagged on n_nationkey = company_ord group by all""",
+    "metrics_sink": _postings(FLAGGED)
+    + """select cast(n_nationkey as bigint) as company_ord, n_name as company,
+      count(*) filter (where yoe_ok) as matched, count(*) filter (where not yoe_ok) as dropped,
+      cast(n_nationkey % 2 as bigint) as run_id
+      from nation left join flagged on n_nationkey = company_ord group by all""",
     "run_metrics": _postings(NEW)
     + """select (select count(*) from new) as new_postings,
       (select count(*) from flagged where not yoe_ok) as dropped_for_experience""",
@@ -338,6 +346,10 @@ ORACLE = {
    union all select distinct landing, concat('== ', company, ' ==') from landed
    union all select landing, '' from (select distinct landing, company from landed))""")
     + "select cast(landing as bigint) as run_id, value from lines",
+    "rule_files": _postings(f""",
+ r as (select *, {_yoe('description')} as yoe from p where {_contains_any('lower(title)', registry.FILE_RULES['keywords']['keywords'])}
+   and not regexp_matches(lower(title), '\\b(?:lead|senior)\\b'))""")
+    + f"select posting_ord, title, {NOTE} as yoe_note from r where yoe is null or yoe <= 3",
     "full_run": LINKS + STATIC_HITS + _either(SENIOR)
     + f", p as ({POSTINGS})" + ALL_SOURCES + f""",
  matching as (
@@ -350,3 +362,6 @@ ORACLE = {
  passed as (select *, {NOTE} as yoe_note from judged where yoe is null or yoe <= 1)
  """ + _first("passed", _ORD, columns="company_ord, posting_ord, company, title, url, yoe_note"),
 }
+
+# The run keeps the same records that the normalisers set aside.
+ORACLE["run_quarantine"] = ORACLE["quarantine_report"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,7 +73,10 @@ def flagship(spark, sf_dir):
 
 @query
 def catalog_scan(spark, sf_dir):
-    return inputs.catalog(spark, sf_dir)
+    """The catalog as read from a file."""
+    path = shared_dir(spark)
+    inputs.catalog(spark, sf_dir).write.parquet(path)
+    return catalogs.read_catalog(spark, path)
 
 
 def _source_query(source_type: str) -> Query:
@@ -332,6 +336,15 @@ def static_or_rendered(spark, sf_dir):
 QUERIES["fallback"] = QUERIES.pop("static_or_rendered")
 
 
+@query
+def static_only(spark, sf_dir):
+    """Career pages without rendered ones to fall back on."""
+    found = fallback.generic_postings(
+        _one_page_companies(spark, sf_dir), None, FALLBACK_KEYWORDS, ("los", "las")
+    )
+    return found.select("company_ord", "source_type", "posting_ord", "title", "url")
+
+
 @query
 def rendered_roles(spark, sf_dir):
     """Rendered cards of all pages: not tested for keywords, only for seniority."""
@@ -414,6 +427,16 @@ def company_metrics(spark, sf_dir):
     return report.company_metrics(inputs.companies(spark, sf_dir), _flagged(spark, sf_dir))
 
 
+@query
+def metrics_sink(spark, sf_dir):
+    """Metrics of two runs, the second written twice, as read back."""
+    path = shared_dir(spark)
+    metrics = settle(report.company_metrics(inputs.companies(spark, sf_dir), _flagged(spark, sf_dir)))
+    for run_id in (0, 1, 1):
+        report.write_metrics(metrics.where(F.col("company_ord") % 2 == run_id), path, run_id)
+    return spark.read.parquet(path).withColumn("run_id", F.col("run_id").cast("bigint"))
+
+
 @query
 def run_metrics(spark, sf_dir):
     flagged = settle(_flagged(spark, sf_dir).drop("title", "description"))
@@ -456,6 +479,42 @@ def full_run(spark, sf_dir):
     return outcome.new.select("company_ord", "posting_ord", "company", "title", "url", "yoe_note")
 
 
+@query
+def run_quarantine(spark, sf_dir):
+    """What a run over damaged responses sets aside, as its table keeps it."""
+    catalog = settle(inputs.companies(spark, sf_dir).select("company_ord", "name", "url", "type"))
+    payloads = settle(
+        inputs.damaged_payloads(spark, sf_dir).select("company_ord", "page_offset", "body", "source_type"),
+        partition_by="source_type",
+    )
+    pages = spark.createDataFrame([], schemas.PAGE)
+    kept = shared_dir(spark)
+    flow.run(catalog, payloads, pages, pages, shared_dir(spark), 0, RUN_TS, metrics_path=kept)
+    return (
+        spark.read.parquet(f"{kept}/quarantined").withColumnRenamed("reason", "bad")
+        .groupBy("company_ord", "source_type", "bad").agg(F.count("*").alias("n"))
+    )
+
+
+# Rules of a user's own, as they stand in rule files.
+FILE_RULES = {
+    "keywords": {"keywords": ["Backend Engineer", "llm", "full stack"]},
+    "seniority": {"exclude_terms": ["Lead", "senior"]},
+    "experience": {"max_years": 3},
+}
+
+
+@query
+def rule_files(spark, sf_dir):
+    """Postings under rules read from files."""
+    base = shared_dir(spark)
+    for name, content in FILE_RULES.items():
+        spark.range(1).select(F.lit(json.dumps(content))).coalesce(1).write.text(f"{base}/{name}")
+    chosen = flow.Rules.read(spark, *(f"{base}/{name}" for name in FILE_RULES))
+    rows = filters.role_filter(inputs.postings(spark, sf_dir), chosen.keywords, chosen.exclude)
+    return filters.experience_gate(rows, chosen.max_years).select("posting_ord", "title", "yoe_note")
+
+
 def _replay(spark, sf_dir, **options):
     """Land the history in parts and process each with its own stream run."""
     base = shared_dir(spark)

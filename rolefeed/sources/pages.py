@@ -61,10 +61,10 @@ def keyword_links(
 def job_cards(
     pages: DataFrame, fragments: Sequence[str] = rules.JOB_LINK_FRAGMENTS,
     boilerplate: Sequence[str] = rules.BOILERPLATE_TITLES, keys: Sequence[str] = ("page_id",),
-    context: bool = False,
+    context: bool = False, location: str = rules.DEFAULT_LOCATION,
 ) -> DataFrame:
     """Cards of rendered pages that link to a job, once per page and address."""
-    cards = page_cards(pages, keys, context)
+    cards = page_cards(pages, keys, context, location)
     accepted = cards.where(
         is_job_link(F.col("href"), fragments) & is_card_title(F.col("title"), boilerplate)
     )
