@@ -11,6 +11,10 @@ length, queries get 0 there.
 
 Bounds: the forest is fitted on at most ``SAMPLE`` rows (those with the smallest hash of their
 id) and has at most ``SAMPLE / 32`` leaves a tree. All rows are indexed and may be found.
+
+Every tree holds a copy of all vectors, and every probe a copy of a query, so both are few: two
+trees of large leaves, of which a query searches a fixed share. What is found then does not
+depend on the number of rows. Vectors travel in the precision they are stored in.
 """
 
 from __future__ import annotations
@@ -22,13 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from rolefeed.session import settle
+from pyspark.sql.types import ArrayType, FloatType
 
 SAMPLE = 16_384
-TREES = 24
-LEAF_ROWS = 192
-PROBES = 160  # leaves that a query searches, over all trees
+TREES = 2
+LEAF_ROWS = 800
+SHARE = 0.52  # of all trees' leaves: how many a query searches
 BLOCK_ROWS = 4096
 SALTS = 4  # a leaf's rows are gathered in so many tasks
 
@@ -171,7 +174,7 @@ def _search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_id
     return [np.concatenate(x) for x in zip(*out)]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, probes: int = PROBES,
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, share: float = SHARE,
             leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE, id_column: str = "vec_id",
             vector_column: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for every query the ``k`` rows of ``vectors`` with the
@@ -202,6 +205,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TR
     taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
     forest = grow(_matrix(taken.column(0).combine_chunks(), d), shape.n, shape.longest, trees, leaf_rows)
     sent = spark.sparkContext.broadcast(forest)
+    probes = int(np.ceil(share * len(forest.planes) * 2**forest.depth))
+    kinds = [df.schema[vector_column].dataType for df in (vectors, queries)]
+    exact = all(isinstance(t, ArrayType) and isinstance(t.elementType, FloatType) for t in kinds)
+    stored = np.dtype("<f4" if exact else "<f8")  # of single-precision input nothing is lost
 
     def index(batches):
         for batch in batches:
@@ -209,7 +216,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TR
                 ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), d)
                 leaves = sent.value.leaves(x)
                 for tree, leaf in enumerate(leaves):
-                    yield _record(_blocks((tree << 32) + leaf, ids, x))
+                    yield _record(_blocks((tree << 32) + leaf, ids, x.astype(stored)))
 
     def route(batches):
         for batch in batches:
@@ -219,19 +226,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TR
                 found = [sent.value.probes(q, probes) for q in x]
                 place = np.repeat(np.arange(len(x)), [len(f) for f in found])
                 keys = np.array([(t << 32) + leaf for f in found for t, leaf in f], dtype=np.int64)
-                yield _record(_blocks(keys, ids[place], x[place]))
+                yield _record(_blocks(keys, ids[place], x.astype(stored)[place]))
 
     row_blocks = _gathered(rows.mapInArrow(index, BLOCK)).select("tree", "leaf", "ids", "vectors")
     query_blocks = _gathered(asked.mapInArrow(route, BLOCK)).select(
         "tree", "leaf", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")
     )
-    pairs = settle(row_blocks).join(settle(query_blocks), ["tree", "leaf"]).select("ids", "vectors", "q_ids", "q_vectors")
+    pairs = row_blocks.join(query_blocks, ["tree", "leaf"]).select("ids", "vectors", "q_ids", "q_vectors")
 
     def search(batches):
         for batch in batches:
             for ids, x, q_ids, q in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                x, q = np.frombuffer(x).reshape(-1, d), np.frombuffer(q).reshape(-1, d)
+                x, q = (np.frombuffer(v, stored).astype(np.float64).reshape(-1, d) for v in (x, q))
                 for low in range(0, len(q_ids), 256):
                     part = _search(q[low:low + 256], q_ids[low:low + 256], x, ids, k)
                     yield pa.RecordBatch.from_arrays([pa.array(p) for p in part], names=["query_id", "vec_id", "score"])

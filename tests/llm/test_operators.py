@@ -220,7 +220,7 @@ def test_nearest(spark):
     rows = [(i, v) for i, v in enumerate(x.tolist())]
     bad = [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [float("nan")] * 16), (5004, [None] * 16), (None, x[0].tolist()), (5005, [1.0] * 3)]
     table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
-    found = neighbours.nearest(table, table.where("vec_id % 20 = 0"), leaf_rows=64, probes=200).collect()
+    found = neighbours.nearest(table, table.where("vec_id % 20 = 0"), leaf_rows=64, share=1.0).collect()
     got = collections.defaultdict(list)
     for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
         got[r.query_id].append((r.vec_id, r.score))
