@@ -33,6 +33,7 @@ TREES = 2
 LEAF_ROWS = 800
 SHARE = 0.52  # of all trees' leaves: how many a query searches
 BLOCK_ROWS = 4096
+HELD_ROWS = 1 << 19  # results that a task holds to compare them
 SALTS = 4  # a leaf's rows are gathered in so many tasks
 
 BLOCK = "tree int, leaf int, ids binary, vectors binary"
@@ -174,6 +175,20 @@ def _search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_id
     return [np.concatenate(x) for x in zip(*out)]
 
 
+def _best(parts: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
+    """The ``k`` best of all results for each query, each row once: query, row, score."""
+    query, row, score = (np.concatenate(column) for column in zip(*parts))
+    order = np.lexsort((-score, row, query))
+    query, row, score = query[order], row[order], score[order]
+    once = np.r_[True, (query[1:] != query[:-1]) | (row[1:] != row[:-1])]
+    query, row, score = query[once], row[once], score[once]
+    order = np.lexsort((row, -score, query))
+    query, row, score = query[order], row[order], score[order]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+    return [query[place < k], row[place < k], score[place < k]]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, share: float = SHARE,
             leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE, id_column: str = "vec_id",
             vector_column: str = "embedding") -> DataFrame:
@@ -235,13 +250,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TR
     pairs = row_blocks.join(query_blocks, ["tree", "leaf"]).select("ids", "vectors", "q_ids", "q_vectors")
 
     def search(batches):
+        held, size = [], 0
+
+        def record(part):
+            return pa.RecordBatch.from_arrays([pa.array(p) for p in part], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for ids, x, q_ids, q in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
                 x, q = (np.frombuffer(v, stored).astype(np.float64).reshape(-1, d) for v in (x, q))
                 for low in range(0, len(q_ids), 256):
-                    part = _search(q[low:low + 256], q_ids[low:low + 256], x, ids, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(p) for p in part], names=["query_id", "vec_id", "score"])
+                    held.append(_search(q[low:low + 256], q_ids[low:low + 256], x, ids, k))
+                    size += len(held[-1][0])
+                    if size >= HELD_ROWS:
+                        held = [_best(held, k)]
+                        size = len(held[0][0])
+                        if 2 * size >= HELD_ROWS:
+                            yield record(held[0])
+                            held, size = [], 0
+        if size:
+            yield record(_best(held, k))
 
     found = pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
