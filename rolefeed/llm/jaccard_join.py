@@ -2,21 +2,29 @@
 
 1. Every document becomes the set of its hashed 5-word shingles. Documents with equal sets are
    one class; only classes are compared.
-2. Classes are partitioned into groups of similar ones: those that agree on a band of minimum
-   hashes are compared with one pivot of the band, and links found that way are joined up.
-3. The token-group matrix stores, for each token of the classes' prefixes, the groups that hold
+2. Tokens get one order for the whole corpus, rare ones first: counts of all tokens, added up in
+   ``BUCKETS`` buckets of hashes, give each token a level, and (level, hash) is its place. The
+   order only decides how much work there is; any order gives the same links.
+3. Classes are partitioned into groups of similar ones: those that agree on a band of minimum
+   hashes are compared with one pivot of the band, the class of the most frequent tokens, which
+   is the likeliest centre of its copies. Links found that way are joined up.
+4. The token-group matrix stores, for each token of the classes' prefixes, the groups that hold
    it: the union of a group's tokens. Most tokens occur in one group only and are dropped.
-4. Each class queries the matrix. A group is opened only if it shares as many prefix tokens with
+5. Each class queries the matrix. A group is opened only if it shares as many prefix tokens with
    the class as any partner in it must share; in an opened group the same bound picks the members
    that are compared in full. Pairs within one group need no comparison: they are joined already.
 
 The bound is exact. Partners of sizes ``n`` and ``m`` share at least ``t (n + m) / (1 + t)`` tokens,
 and ``m >= t n``, so a partner lacks at most ``s = n - ceil(t n)`` of a set's tokens. A prefix is
-the ``p = s + 1 + slack`` smallest hashes. Of two partners, the one whose prefix ends at the smaller
-hash has all its prefix tokens that the other set holds in the other's prefix too, so the prefixes
-share at least ``r = t (n + m) / (1 + t) - (n - p)`` tokens, which is never less than ``p - s``. Any
-``r - 1`` tokens may be left out of the query. Three quarters of ``r`` are, the most frequent ones:
-that is how a passage that a third of all documents quote brings no two of them together.
+the first ``p = s + 1 + slack`` tokens. Of two partners, the one whose prefix ends first has all its
+prefix tokens that the other set holds in the other's prefix too, so the prefixes share at least
+``r = t (n + m) / (1 + t) - (n - p)`` tokens, which is never less than ``p - s``. Any ``r - 1``
+tokens may be left out of the query. Three quarters of ``r`` are, the most frequent ones: that is
+how a passage that a third of all documents quote brings no two of them together.
+
+A set also shares nothing with other groups at its dropped tokens, so with a partner outside its
+group it shares at most its ``reach``, the tokens that are left. Two copies of one text that have
+changed too much to be partners each hold enough rare tokens to be told apart by that alone.
 """
 
 from __future__ import annotations
@@ -38,7 +46,10 @@ NUM, DEN = 75, 100  # partners: DEN * intersection >= NUM * union
 BANDS, BAND_WIDTH = 8, 2
 SLACK = 12  # more of it: a longer prefix, and more frequent tokens that a query can do without
 
-SKETCH = "key binary, n bigint, last bigint, prefix array<bigint>, bands array<bigint>"
+BUCKETS = 1 << 21  # of token counts; a byte of each is broadcast
+CHUNK = 1 << 13  # buckets added up together
+
+SKETCH = "key binary, n bigint, familiar bigint, last bigint, prefix array<bigint>, bands array<bigint>"
 
 
 def needed(n):
@@ -83,24 +94,89 @@ def _bands(tokens: np.ndarray) -> np.ndarray:
     return keys[whole].view(np.int64)
 
 
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens.view(np.uint64) >> np.uint64(64 - BUCKETS.bit_length() + 1)).view(np.int64)
+
+
+def _chunks(counts: np.ndarray):
+    """Counts as rows of at most ``CHUNK`` buckets: places and counts, or counts of all places."""
+    places, values = [], []
+    rows = counts.reshape(-1, CHUNK)
+    chunks = np.flatnonzero(rows.any(axis=1))
+    for row in rows[chunks]:
+        at = np.flatnonzero(row)
+        narrow = np.min_scalar_type(row.max())
+        dense = len(at) * (2 + narrow.itemsize) > CHUNK * narrow.itemsize
+        places.append(b"" if dense else at.astype(np.uint16).tobytes())
+        values.append((row if dense else row[at]).astype(narrow).tobytes())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(chunks, pa.int32()), pa.array(places, pa.binary()), pa.array(values, pa.binary())],
+        names=["chunk", "places", "counts"],
+    )
+
+
+def token_levels(texts: DataFrame) -> np.ndarray:
+    """How frequent the tokens of each bucket are, in quarters of powers of two. Every text of the
+    column ``text`` is counted; the result has one size whatever their number."""
+
+    def count(batches):
+        seen = np.zeros(BUCKETS, dtype=np.uint32)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                for tokens in shingle_sets(batch.column(0).slice(low, 256)):
+                    seen[_bucket(tokens)] += 1
+        yield _chunks(seen)
+        pa.default_memory_pool().release_unused()
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, places, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                own = total.setdefault(chunk, np.zeros(CHUNK, dtype=np.uint64))
+                at = np.frombuffer(places, np.uint16) if places else slice(None)
+                width = len(counts) // (len(places) // 2 if places else CHUNK)
+                own[at] += np.frombuffer(counts, f"<u{width}")
+        if total:
+            level = [np.minimum(np.log2(np.maximum(t, 1)) * 4, 127).astype(np.uint8).tobytes() for t in total.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(total), pa.int32()), pa.array(level, pa.binary())], names=["chunk", "levels"]
+            )
+
+    counted = texts.select("text").mapInArrow(count, "chunk int, places binary, counts binary")
+    levels = np.zeros((BUCKETS // CHUNK, CHUNK), dtype=np.uint8)
+    for row in counted.repartition("chunk").mapInArrow(add, "chunk int, levels binary").collect():
+        levels[row.chunk] = np.frombuffer(row.levels, np.uint8)
+    return levels.reshape(-1)
+
+
+def _placed(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Tokens as their places in the corpus-wide order: the level, then 56 bits of the hash."""
+    low = tokens.view(np.uint64) & np.uint64(2**56 - 1)
+    return ((level.astype(np.uint64) << np.uint64(56)) | low).view(np.int64)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
     return pa.ListArray.from_arrays(offsets, np.concatenate([np.empty(0, np.int64), *parts]))
 
 
-def _sketch(texts: pa.Array) -> list[pa.Array]:
-    keys, sizes, lasts, prefixes, bands = [], [], [], [], []
+def _sketch(texts: pa.Array, levels: np.ndarray) -> list[pa.Array]:
+    keys, sizes, familiar, lasts, prefixes, bands = [], [], [], [], [], []
     for tokens in shingle_sets(texts):
         n = len(tokens)
+        level = levels[_bucket(tokens)]
+        p = int(prefix_size(n))
+        prefix = np.sort(np.partition(_placed(tokens, level), p - 1)[:p]) if n else tokens
         sizes.append(n)
         keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if n else None)
-        prefixes.append(tokens[:prefix_size(n)].copy())
-        lasts.append(int(prefixes[-1][-1]) if n else None)
+        familiar.append(int(1000 * level.mean()) if n else None)
+        prefixes.append(prefix)
+        lasts.append(int(prefix[-1]) if n else None)
         bands.append(_bands(tokens) if n else tokens)
     return [
-        pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lasts, pa.int64()),
-        _lists(prefixes), _lists(bands),
+        pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(familiar, pa.int64()),
+        pa.array(lasts, pa.int64()), _lists(prefixes), _lists(bands),
     ]
 
 
@@ -158,9 +234,12 @@ class _Corpus:
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str):
         self.texts = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
-        sketched = add_columns(self.texts, [self.texts["text"]], SKETCH, lambda a: _sketch(a[0]))
+        levels = docs.sparkSession.sparkContext.broadcast(token_levels(self.texts))
+        sketched = add_columns(
+            self.texts, [self.texts["text"]], SKETCH, lambda a: _sketch(a[0], levels.value)
+        )
         self.rows = settle(sketched.select(
-            "doc_id", "key", "n", "last", "prefix", "bands", digest_of(F.col("text")).alias("digest"),
+            "doc_id", "key", "n", "familiar", "last", "prefix", "bands", digest_of(F.col("text")).alias("digest"),
             digest_of(F.col("doc_id"), F.col("text")).alias("row"),
         ))
         # One row per class, without its tokens.
@@ -204,15 +283,15 @@ class _Corpus:
 
 
 def _pivot_pairs(corpus: _Corpus) -> DataFrame:
-    """Each class of a band with the band's smallest class."""
-    banded = corpus.rows.where("n > 0").select("key", "n", F.explode("bands").alias("band"))
+    """Each class of a band with the band's pivot."""
+    banded = corpus.rows.where("n > 0").select("key", "n", "familiar", F.explode("bands").alias("band"))
     ends = banded.groupBy("band").agg(
-        F.min(F.struct("key", "n")).alias("low"), F.max("key").alias("high")
-    ).where("low.key <> high").select("band", "low")
+        F.max(F.struct("familiar", "key", "n")).alias("pivot"), F.min("key").alias("low"), F.max("key").alias("high")
+    ).where("low <> high").select("band", "pivot")
     return (
         banded.join(ends, "band")
-        .where((F.col("key") != F.col("low.key")) & _could_match(F.col("n"), F.col("low.n")))
-        .select(F.col("key").alias("a"), F.col("low.key").alias("b")).distinct()
+        .where((F.col("key") != F.col("pivot.key")) & _could_match(F.col("n"), F.col("pivot.n")))
+        .select(F.greatest("key", "pivot.key").alias("a"), F.least("key", "pivot.key").alias("b")).distinct()
     )
 
 
@@ -225,30 +304,37 @@ def _matrix_pairs(corpus: _Corpus, groups: DataFrame) -> DataFrame:
         cells.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"))
         .where("low <> high").select("token")
     )
-    cells = settle(cells.join(broadcast_if_small(shared), "token").distinct())
-    matrix = cells.select("token", "grp").distinct()
-    spread = matrix.groupBy("token").agg(F.count("*").alias("n_groups"))
-
     n = F.col("n")
     lacks = n - F.ceil(n * NUM / DEN).cast("bigint")
     size = F.least(n, lacks + 1 + SLACK + F.floor(n / 64).cast("bigint"))
     by_class = Window.partitionBy("key")
     # A class that shares fewer tokens with all groups than with any partner has none.
+    cells = settle(
+        cells.join(broadcast_if_small(shared), "token").distinct()
+        .withColumn("have", F.count("*").over(by_class)).where(F.col("have") >= size - lacks)
+        .withColumn("reach", n - size + F.col("have"))
+    )
+    matrix = cells.select("token", "grp").distinct()
+    spread = matrix.groupBy("token").agg(F.count("*").alias("n_groups"))
     asked = settle(
         cells.withColumn("outside", n - size).withColumn("least", size - lacks)
-        .withColumn("have", F.count("*").over(by_class)).where("have >= least")
-        .join(spread, "token")
+        .join(spread.where("n_groups > 1"), "token")
         .withColumn("rank", F.row_number().over(by_class.orderBy(F.desc("n_groups"), "token")))
         .where(F.col("rank") > _skipped(F.col("least")))
-        .select("token", "key", "n", "last", "grp", "outside", "rank")
+        .select("token", "key", "n", "last", "grp", "outside", "reach", "rank")
     )
 
     def must(partner_n: Column) -> Column:
         """Fewest prefix tokens shared with a partner of some size."""
         return F.ceil((n + partner_n) * NUM / (NUM + DEN)) - F.col("outside")
 
+    def within_reach(partner_n: Column, partner_reach: Column) -> Column:
+        """Both sets have enough tokens left for partners of their sizes."""
+        return F.least("reach", partner_reach) * (NUM + DEN) >= (n + partner_n) * NUM
+
     shapes = settle(cells.groupBy("grp").agg(
         F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max("last").alias("high_last"),
+        F.max("reach").alias("high_reach"),
         F.min("key").alias("low_key"), F.max("key").alias("high_key"),
     ).withColumnRenamed("grp", "other"))
     groups = matrix.withColumnRenamed("grp", "other").join(shapes.drop("low_key", "high_key"), "other")
@@ -257,6 +343,7 @@ def _matrix_pairs(corpus: _Corpus, groups: DataFrame) -> DataFrame:
         asked.join(groups, "token")
         .where((F.col("grp") != F.col("other")) & (F.col("high_last") >= F.col("last")))
         .where((F.col("high_n") * DEN >= n * NUM) & (F.col("low_n") * NUM <= n * DEN))
+        .where(within_reach(F.greatest("low_n", n - lacks), F.col("high_reach")))
         .withColumn("must", must(F.greatest("low_n", n - lacks)))
         .where(F.col("rank") > _skipped(F.col("must")))
         .groupBy("key", "other").agg(F.count("*").alias("shared"), F.first("must").alias("must"))
@@ -268,11 +355,12 @@ def _matrix_pairs(corpus: _Corpus, groups: DataFrame) -> DataFrame:
     alone = opened.where("single").select("key", F.col("low_key").alias("partner"))
     members = cells.select(
         "token", F.col("grp").alias("other"), F.col("key").alias("partner"),
-        F.col("n").alias("partner_n"), F.col("last").alias("partner_last"),
+        F.col("n").alias("partner_n"), F.col("last").alias("partner_last"), F.col("reach").alias("partner_reach"),
     )
     inside = (
         asked.join(opened.where("not single").select("key", "other"), "key").join(members, ["token", "other"])
         .where((F.col("partner_last") >= F.col("last")) & _could_match(n, F.col("partner_n")))
+        .where(within_reach(F.col("partner_n"), F.col("partner_reach")))
         .withColumn("must", must(F.col("partner_n")))
         .where(F.col("rank") > _skipped(F.col("must")))
         .groupBy("key", "partner").agg(F.count("*").alias("shared"), F.first("must").alias("must"))
