@@ -11,16 +11,15 @@
 4. The token-group matrix stores, for each token of the classes' prefixes, the groups that hold
    it: the union of a group's tokens. Most tokens occur in one group only and are dropped.
 5. Each class queries the matrix. A group is opened only if it shares as many prefix tokens with
-   the class as any partner in it must share; in an opened group the same bound picks the members
-   that are compared in full. Pairs within one group need no comparison: they are joined already.
+   the class as a partner in it must; in an opened group the same bound picks the members that
+   are compared in full. Pairs within one group need no comparison: they are joined already.
 
-The bound is exact. Partners of sizes ``n`` and ``m`` share at least ``t (n + m) / (1 + t)`` tokens,
-and ``m >= t n``, so a partner lacks at most ``s = n - ceil(t n)`` of a set's tokens. A prefix is
-the first ``p = s + 1 + slack`` tokens. Of two partners, the one whose prefix ends first has all its
-prefix tokens that the other set holds in the other's prefix too, so the prefixes share at least
-``r = t (n + m) / (1 + t) - (n - p)`` tokens, which is never less than ``p - s``. Any ``r - 1``
-tokens may be left out of the query. Three quarters of ``r`` are, the most frequent ones: that is
-how a passage that a third of all documents quote brings no two of them together.
+The bound is exact. Partners of sizes ``n <= m`` share at least ``need = t (n + m) / (1 + t)``
+tokens, and ``m <= n / t``. After the ``l``-th token that they share come at least ``need - l``
+more, so it is among the first ``n - need + l`` tokens of one and ``m - need + l`` of the other:
+these prefixes share ``l`` tokens or more (``LEAD``, or ``need`` if that is less). The smaller set
+asks; its prefix is short, and no set's is longer than ``m - ceil(t m) + l``. What is frequent
+comes last: a passage that a third of all documents quote brings no two of them together.
 
 A set also shares nothing with other groups at its dropped tokens, so with a partner outside its
 group it shares at most its ``reach``, the tokens that are left. Two copies of one text that have
@@ -44,12 +43,12 @@ from rolefeed.session import broadcast_if_small, settle
 SHINGLE = 5
 NUM, DEN = 75, 100  # partners: DEN * intersection >= NUM * union
 BANDS, BAND_WIDTH = 8, 2
-SLACK = 12  # more of it: a longer prefix, and more frequent tokens that a query can do without
+LEAD = 2  # prefixes of partners share so many tokens; more of it, longer prefixes
 
 BUCKETS = 1 << 21  # of token counts; a byte of each is broadcast
 CHUNK = 1 << 13  # buckets added up together
 
-SKETCH = "key binary, n bigint, familiar bigint, last bigint, prefix array<bigint>, bands array<bigint>"
+SKETCH = "key binary, n bigint, familiar bigint, prefix array<bigint>, bands array<bigint>"
 
 
 def needed(n):
@@ -58,11 +57,7 @@ def needed(n):
 
 
 def prefix_size(n):
-    return np.minimum(n, n - needed(n) + 1 + slack(n))
-
-
-def slack(n):
-    return SLACK + n // 64
+    return np.minimum(n, n - needed(n) + LEAD)
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE):
@@ -162,7 +157,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _sketch(texts: pa.Array, levels: np.ndarray) -> list[pa.Array]:
-    keys, sizes, familiar, lasts, prefixes, bands = [], [], [], [], [], []
+    keys, sizes, familiar, prefixes, bands = [], [], [], [], []
     for tokens in shingle_sets(texts):
         n = len(tokens)
         level = levels[_bucket(tokens)]
@@ -172,11 +167,10 @@ def _sketch(texts: pa.Array, levels: np.ndarray) -> list[pa.Array]:
         keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if n else None)
         familiar.append(int(1000 * level.mean()) if n else None)
         prefixes.append(prefix)
-        lasts.append(int(prefix[-1]) if n else None)
         bands.append(_bands(tokens) if n else tokens)
     return [
         pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(familiar, pa.int64()),
-        pa.array(lasts, pa.int64()), _lists(prefixes), _lists(bands),
+        _lists(prefixes), _lists(bands),
     ]
 
 
@@ -239,13 +233,13 @@ class _Corpus:
             self.texts, [self.texts["text"]], SKETCH, lambda a: _sketch(a[0], levels.value)
         )
         self.rows = settle(sketched.select(
-            "doc_id", "key", "n", "familiar", "last", "prefix", "bands", digest_of(F.col("text")).alias("digest"),
+            "doc_id", "key", "n", "familiar", "prefix", "bands", digest_of(F.col("text")).alias("digest"),
             digest_of(F.col("doc_id"), F.col("text")).alias("row"),
         ))
         # One row per class, without its tokens.
         self.classes = settle(
             self.rows.where("n > 0").groupBy("key").agg(
-                F.min("n").alias("n"), F.min("last").alias("last"),
+                F.min("n").alias("n"),
                 F.min("digest").alias("digest"), F.count("*").alias("n_rows"),
             )
         )
@@ -295,88 +289,77 @@ def _pivot_pairs(corpus: _Corpus) -> DataFrame:
     )
 
 
+def _need(n: Column, m: Column) -> Column:
+    """Fewest tokens that partners of two sizes share."""
+    return F.ceil((n + m) * NUM / (NUM + DEN)).cast("bigint")
+
+
 def _matrix_pairs(corpus: _Corpus, groups: DataFrame) -> DataFrame:
     """Pairs of classes of different groups that the token-group matrix cannot rule out."""
-    rows = corpus.rows.where("n > 0").select("key", "n", "last", "prefix")
-    rows = rows.join(groups, "key", "left").withColumn("grp", F.coalesce("grp", F.xxhash64("key")))
-    cells = rows.select("key", "n", "last", "grp", F.explode("prefix").alias("token"))
+    rows = corpus.rows.where("n > 0").select("key", "n", "prefix")
+    rows = rows.join(broadcast_if_small(groups), "key", "left")
+    rows = rows.withColumn("grp", F.coalesce("grp", F.xxhash64("key")))
     shared = settle(
-        cells.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"))
+        rows.select("grp", F.explode("prefix").alias("token"))
+        .groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"))
         .where("low <> high").select("token")
     )
-    n = F.col("n")
-    lacks = n - F.ceil(n * NUM / DEN).cast("bigint")
-    size = F.least(n, lacks + 1 + SLACK + F.floor(n / 64).cast("bigint"))
-    by_class = Window.partitionBy("key")
-    # A class that shares fewer tokens with all groups than with any partner has none.
+    n, pos, reach = F.col("n"), F.col("pos"), F.col("reach")
+    dropped = F.col("p") - F.count("*").over(Window.partitionBy("key"))
+    # A class that has too few tokens left for any partner has none.
     cells = settle(
-        cells.join(broadcast_if_small(shared), "token").distinct()
-        .withColumn("have", F.count("*").over(by_class)).where(F.col("have") >= size - lacks)
-        .withColumn("reach", n - size + F.col("have"))
+        rows.select("key", "n", "grp", F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "token"))
+        .join(broadcast_if_small(shared), "token").distinct()
+        .withColumn("reach", n - dropped).drop("p").where(reach * DEN >= n * NUM)
     )
-    matrix = cells.select("token", "grp").distinct()
-    spread = matrix.groupBy("token").agg(F.count("*").alias("n_groups"))
-    asked = settle(
-        cells.withColumn("outside", n - size).withColumn("least", size - lacks)
-        .join(spread.where("n_groups > 1"), "token")
-        .withColumn("rank", F.row_number().over(by_class.orderBy(F.desc("n_groups"), "token")))
-        .where(F.col("rank") > _skipped(F.col("least")))
-        .select("token", "key", "n", "last", "grp", "outside", "reach", "rank")
+    matrix = cells.groupBy("token", F.col("grp").alias("other")).agg(
+        F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max("reach").alias("high_reach"),
+        F.max(n - pos).alias("left"),
     )
+    asked = cells.where(pos < n - _need(n, n) + LEAD)
+
+    def possible(partner_n: Column, partner_reach: Column, partner_left: Column) -> Column:
+        """The token is in both prefixes, and both sets have enough tokens left."""
+        need = _need(n, partner_n)
+        lead = F.least(need, F.lit(LEAD))
+        return (
+            (pos < n - need + lead) & (partner_left > need - lead) & (F.least(reach, partner_reach) >= need)
+        )
+
+    def enough(partner_n: Column) -> Column:
+        return F.least(_need(n, partner_n), F.lit(LEAD))
 
-    def must(partner_n: Column) -> Column:
-        """Fewest prefix tokens shared with a partner of some size."""
-        return F.ceil((n + partner_n) * NUM / (NUM + DEN)) - F.col("outside")
-
-    def within_reach(partner_n: Column, partner_reach: Column) -> Column:
-        """Both sets have enough tokens left for partners of their sizes."""
-        return F.least("reach", partner_reach) * (NUM + DEN) >= (n + partner_n) * NUM
-
-    shapes = settle(cells.groupBy("grp").agg(
-        F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max("last").alias("high_last"),
-        F.max("reach").alias("high_reach"),
-        F.min("key").alias("low_key"), F.max("key").alias("high_key"),
-    ).withColumnRenamed("grp", "other"))
-    groups = matrix.withColumnRenamed("grp", "other").join(shapes.drop("low_key", "high_key"), "other")
-    # Of two partners, the one whose prefix ends first finds the other.
+    # Of two partners, the smaller set asks.
+    least_n = F.greatest("low_n", "n")
     opened = (
-        asked.join(groups, "token")
-        .where((F.col("grp") != F.col("other")) & (F.col("high_last") >= F.col("last")))
-        .where((F.col("high_n") * DEN >= n * NUM) & (F.col("low_n") * NUM <= n * DEN))
-        .where(within_reach(F.greatest("low_n", n - lacks), F.col("high_reach")))
-        .withColumn("must", must(F.greatest("low_n", n - lacks)))
-        .where(F.col("rank") > _skipped(F.col("must")))
-        .groupBy("key", "other").agg(F.count("*").alias("shared"), F.first("must").alias("must"))
-        .where(F.col("shared") >= F.col("must") - _skipped(F.col("must")))
-        .select("key", "other")
+        asked.join(matrix, "token")
+        .where((F.col("grp") != F.col("other")) & (F.col("high_n") >= n) & (F.col("low_n") * NUM <= n * DEN))
+        .where(possible(least_n, F.col("high_reach"), F.col("left")))
+        .groupBy("key", "other").agg(F.count("*").alias("shared"), F.min(enough(least_n)).alias("enough"))
+        .where("shared >= enough").select("key", "other")
     )
-    opened = settle(opened.join(shapes.select("other", "low_key", (F.col("low_key") == F.col("high_key")).alias("single")), "other"))
+    names = cells.groupBy(F.col("grp").alias("other")).agg(F.min("key").alias("low_key"), F.max("key").alias("high_key"))
+    opened = settle(opened.join(names, "other"))
     # A group of one class has been tested as such; in others the members are.
-    alone = opened.where("single").select("key", F.col("low_key").alias("partner"))
+    alone = opened.where("low_key = high_key").select("key", F.col("low_key").alias("partner"))
     members = cells.select(
-        "token", F.col("grp").alias("other"), F.col("key").alias("partner"),
-        F.col("n").alias("partner_n"), F.col("last").alias("partner_last"), F.col("reach").alias("partner_reach"),
+        "token", F.col("grp").alias("other"), F.col("key").alias("partner"), F.col("n").alias("partner_n"),
+        F.col("reach").alias("partner_reach"), (n - pos).alias("partner_left"),
     )
+    partner_n = F.col("partner_n")
     inside = (
-        asked.join(opened.where("not single").select("key", "other"), "key").join(members, ["token", "other"])
-        .where((F.col("partner_last") >= F.col("last")) & _could_match(n, F.col("partner_n")))
-        .where(within_reach(F.col("partner_n"), F.col("partner_reach")))
-        .withColumn("must", must(F.col("partner_n")))
-        .where(F.col("rank") > _skipped(F.col("must")))
-        .groupBy("key", "partner").agg(F.count("*").alias("shared"), F.first("must").alias("must"))
-        .where(F.col("shared") >= F.col("must") - _skipped(F.col("must")))
-        .select("key", "partner")
+        asked.join(opened.where("low_key <> high_key").select("key", "other"), "key")
+        .join(members, ["token", "other"])
+        .where((partner_n >= n) & _could_match(n, partner_n))
+        .where(possible(partner_n, F.col("partner_reach"), F.col("partner_left")))
+        .groupBy("key", "partner").agg(F.count("*").alias("shared"), F.first(enough(partner_n)).alias("enough"))
+        .where("shared >= enough").select("key", "partner")
     )
     return alone.unionByName(inside).select(
         F.greatest("key", "partner").alias("a"), F.least("key", "partner").alias("b")
     ).distinct()
 
 
-def _skipped(must: Column) -> Column:
-    """How many of the most frequent tokens a query does without."""
-    return F.floor(must * 3 / 4)
-
-
 def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id, row, n_shingles, component_id, n_copies`` and ``root``, the smallest class that
     links lead to (NULL without shingles)."""
