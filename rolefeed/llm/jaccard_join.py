@@ -21,9 +21,10 @@ these prefixes share ``l`` tokens or more (``LEAD``, or ``need`` if that is less
 asks; its prefix is short, and no set's is longer than ``m - ceil(t m) + l``. What is frequent
 comes last: a passage that a third of all documents quote brings no two of them together.
 
-A set also shares nothing with other groups at its dropped tokens, so with a partner outside its
-group it shares at most its ``reach``, the tokens that are left. Two copies of one text that have
-changed too much to be partners each hold enough rare tokens to be told apart by that alone.
+A dropped token is in no other group's prefix, but a partner may hold it behind its own. Only of
+two sets the one whose prefix ends first in the order shares none of its dropped tokens: the other's
+prefix would hold them. It shares at most its ``reach``, the tokens that are left. Two copies of one
+text that have changed too much to be partners each hold enough rare tokens to be told apart by that.
 """
 
 from __future__ import annotations
@@ -304,26 +305,31 @@ def _matrix_pairs(corpus: _Corpus, groups: DataFrame) -> DataFrame:
         .groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"))
         .where("low <> high").select("token")
     )
-    n, pos, reach = F.col("n"), F.col("pos"), F.col("reach")
-    dropped = F.col("p") - F.count("*").over(Window.partitionBy("key"))
-    # A class that has too few tokens left for any partner has none.
+    n, pos, reach, last = F.col("n"), F.col("pos"), F.col("reach"), F.col("last")
+    left = F.count("*").over(Window.partitionBy("key"))
+    # Where a prefix ends, in the upper half of the place: of two that agree there neither is first.
+    end = F.shiftright(F.element_at("prefix", -1), 32).cast("int")
+    # Partners' prefixes share LEAD tokens or all they need, so a class with fewer left has none.
     cells = settle(
-        rows.select("key", "n", "grp", F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "token"))
+        rows.select("key", "n", "grp", end.alias("last"), F.size("prefix").alias("p"), F.posexplode("prefix").alias("pos", "token"))
         .join(broadcast_if_small(shared), "token").distinct()
-        .withColumn("reach", n - dropped).drop("p").where(reach * DEN >= n * NUM)
+        .withColumn("left", left).where(F.col("left") >= F.least(F.ceil(n * NUM / DEN), F.lit(LEAD)))
+        .withColumn("reach", n - F.col("p") + F.col("left")).drop("p", "left")
     )
     matrix = cells.groupBy("token", F.col("grp").alias("other")).agg(
         F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.max("reach").alias("high_reach"),
-        F.max(n - pos).alias("left"),
+        F.min("last").alias("low_last"), F.max("last").alias("high_last"), F.max(n - pos).alias("left"),
     )
     asked = cells.where(pos < n - _need(n, n) + LEAD)
 
-    def possible(partner_n: Column, partner_reach: Column, partner_left: Column) -> Column:
-        """The token is in both prefixes, and both sets have enough tokens left."""
+    def possible(partner_n: Column, partner_reach: Column, low_last: Column, high_last: Column, partner_left: Column) -> Column:
+        """The token is in both prefixes, and both sets have enough tokens left; dropped tokens
+        count only for the set whose prefix ends first."""
         need = _need(n, partner_n)
         lead = F.least(need, F.lit(LEAD))
         return (
-            (pos < n - need + lead) & (partner_left > need - lead) & (F.least(reach, partner_reach) >= need)
+            (pos < n - need + lead) & (partner_left > need - lead)
+            & ((last >= low_last) | (reach >= need)) & ((high_last >= last) | (partner_reach >= need))
         )
 
     def enough(partner_n: Column) -> Column:
@@ -334,7 +340,7 @@ def _matrix_pairs(corpus: _Corpus, groups: DataFrame) -> DataFrame:
     opened = (
         asked.join(matrix, "token")
         .where((F.col("grp") != F.col("other")) & (F.col("high_n") >= n) & (F.col("low_n") * NUM <= n * DEN))
-        .where(possible(least_n, F.col("high_reach"), F.col("left")))
+        .where(possible(least_n, F.col("high_reach"), F.col("low_last"), F.col("high_last"), F.col("left")))
         .groupBy("key", "other").agg(F.count("*").alias("shared"), F.min(enough(least_n)).alias("enough"))
         .where("shared >= enough").select("key", "other")
     )
@@ -344,14 +350,14 @@ def _matrix_pairs(corpus: _Corpus, groups: DataFrame) -> DataFrame:
     alone = opened.where("low_key = high_key").select("key", F.col("low_key").alias("partner"))
     members = cells.select(
         "token", F.col("grp").alias("other"), F.col("key").alias("partner"), F.col("n").alias("partner_n"),
-        F.col("reach").alias("partner_reach"), (n - pos).alias("partner_left"),
+        F.col("reach").alias("partner_reach"), F.col("last").alias("partner_last"), (n - pos).alias("partner_left"),
     )
-    partner_n = F.col("partner_n")
+    partner_n, partner_last = F.col("partner_n"), F.col("partner_last")
     inside = (
         asked.join(opened.where("low_key <> high_key").select("key", "other"), "key")
         .join(members, ["token", "other"])
         .where((partner_n >= n) & _could_match(n, partner_n))
-        .where(possible(partner_n, F.col("partner_reach"), F.col("partner_left")))
+        .where(possible(partner_n, F.col("partner_reach"), partner_last, partner_last, F.col("partner_left")))
         .groupBy("key", "partner").agg(F.count("*").alias("shared"), F.first(enough(partner_n)).alias("enough"))
         .where("shared >= enough").select("key", "partner")
     )

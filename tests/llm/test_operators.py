@@ -101,6 +101,23 @@ def test_near_duplicates(spark):
     assert jaccard_join.near_duplicates(docs(spark, [])).count() == 0
 
 
+def matrix_pairs(spark, texts):
+    """Pairs that the matrix alone leaves, as numbers of texts; every class is its own group."""
+    corpus = jaccard_join._Corpus(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), "doc_id", "text")
+    ids = {bytes(r.key): r.doc_id for r in corpus.rows.where("n > 0").select("key", "doc_id").collect()}
+    alone = spark.createDataFrame([], "key binary, grp long")
+    return {tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in jaccard_join._matrix_pairs(corpus, alone).collect()}
+
+
+@pytest.mark.parametrize("small, shared, large", [(75, 75, 100), (90, 90, 104), (94, 90, 104)])
+def test_matrix_keeps_contained_copies(spark, small, shared, large):
+    # The larger set's prefix is nearly all of its own rare tokens, so most of the smaller one's
+    # prefix is behind it.
+    same = [f"w{i}" for i in range(shared + 4)]
+    texts = [" ".join([*same, *(f"{own}{i}" for i in range(n - shared))]) for own, n in (("a", small), ("b", large))]
+    assert matrix_pairs(spark, texts) == {(0, 1)}
+
+
 def test_keep_one(spark):
     text = "one two three four five six seven eight"
     rows = [(2, text, "s"), (1, text, "s"), (1, text, "s"), (None, text, "s"), (None, "other", "s"), (3, "", "s"), (4, None, "s"), (4, None, "s")]
