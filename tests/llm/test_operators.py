@@ -118,6 +118,26 @@ def test_matrix_keeps_contained_copies(spark, small, shared, large):
     assert matrix_pairs(spark, texts) == {(0, 1)}
 
 
+def test_matrix_keeps_all_links(spark):
+    # Cut, extended and contained copies beside passages that many texts quote, without pivots.
+    rng = random.Random(12)
+    passages, texts = [prose(rng, 60, 5000) for _ in range(2)], []
+    for family in range(24):
+        base = prose(rng, rng.choice([20, 79, 200]), 10**6).split()
+        n = len(base)
+        copies = [base, base[:n * 4 // 5], base[n // 5:], [*base, *prose(rng, n // 4, 10**6).split()],
+                  [*base[n // 10:], *prose(rng, n // 8, 10**6).split()], [*base, *prose(rng, n // 3, 10**6).split()]]
+        for i, words in enumerate(copies):
+            texts.append(" ".join(words) + (" " + passages[(family + i) % 2] if family % 3 else ""))
+    same = [f"w{i}" for i in range(79)]
+    texts += [" ".join(same), " ".join([*same, *(f"b{i}" for i in range(25))])]
+    sets = [shingles(t) for t in texts]
+    links = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2)
+             if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert (len(texts) - 2, len(texts) - 1) in links and len(links) > 50
+    assert links <= matrix_pairs(spark, texts)
+
+
 def test_keep_one(spark):
     text = "one two three four five six seven eight"
     rows = [(2, text, "s"), (1, text, "s"), (1, text, "s"), (None, text, "s"), (None, "other", "s"), (3, "", "s"), (4, None, "s"), (4, None, "s")]
