@@ -2,8 +2,8 @@
 
 Dated list entries (``key, at, action``) become validity intervals: an entry holds until the next
 one for its key. A capture is looked up under every key that covers its URL: its host, the domains
-above it, and the host with the first path segments. Of the entries that hold at fetch time, the
-most specific decides.
+above it, and the host with its first path segments, as many as the longest key in the list has.
+Of the entries that hold at fetch time, the most specific decides.
 
 The as-of join is an equality join on key and a period of time, with the exact times as a
 condition. Periods split a host that a third of all captures share, and adaptive execution splits
@@ -19,31 +19,31 @@ from rolefeed.llm.rows import digest_of, fresh
 from rolefeed.session import broadcast_if_small, settle
 
 PERIOD = 30 * 86_400  # seconds
-PATH_DEPTH = 2
-LONGEST_HOST = 253  # characters that a host name may have
+PATH_DEPTH = 2  # path segments of keys, unless more are asked for
 # Of entries for one key at one time the last of these counts; "remove" ends what held before.
 ACTIONS = ("remove", "allow", "block")
 
 
 def url_host(url: Column) -> Column:
-    """Lower-case host without user and port; empty if there is none or it is no host name."""
+    """Lower-case host without user and port; empty if there is none."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return F.when(F.length(host) <= LONGEST_HOST, F.rtrim(host, F.lit("."))).otherwise(F.lit(""))
+    return F.coalesce(F.rtrim(host, F.lit(".")), F.lit(""))
 
 
-def url_keys(url: Column) -> Column:
+def url_keys(url: Column, depth: int = PATH_DEPTH, most_labels: int | None = None) -> Column:
     """Keys that cover a URL, as an array of (key, rank): the domains above its host, widest
-    first, then the host, then the host with one and more path segments. Empty without a host."""
+    first, then the host, then the host with one to ``depth`` path segments; empty segments do not
+    count. Of the domains only those of at most ``most_labels`` labels. Empty without a host."""
     host = url_host(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.transform(
-        F.sequence(F.lit(1), n),
+        F.sequence(F.lit(1), n if most_labels is None else F.least(n, F.lit(max(most_labels, 1)))),
         lambda i: F.struct(F.array_join(F.slice(labels, n - i + 1, i), ".").alias("key"), i.alias("rank")),
     )
     domains = F.filter(domains, lambda d: (d["rank"] >= 2) | (n == 1))
     path = F.regexp_extract(url, r"^[^:]+://[^/?#]*/([^?#]*)", 1)
-    segments = F.filter(F.slice(F.split(path, "/"), 1, PATH_DEPTH), lambda s: s != "")
+    segments = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, depth)
     paths = F.transform(
         F.filter(F.sequence(F.lit(0), F.size(segments)), lambda i: i > 0),
         lambda i: F.struct(
@@ -83,13 +83,19 @@ def apply_lists(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     kept = [c for c in captures.columns if c.lower() not in ("n_active", "verdict", "rule")]
     when = F.unix_seconds(F.col(fetched).cast("timestamp"))
     numbered = captures.select(*kept).withColumn(row, digest_of(captures[url].cast("string"), captures[fetched].cast("string")))
+    ends = captures.select(F.min(when).alias("low"), F.max(when).alias("high")).first()
+    held = settle(intervals(entries))
+    # Only keys as long as those in the list can match.
+    parts = F.split("key", "/")
+    longest = held.agg(
+        F.max(F.size(parts) - 1).alias("depth"), F.max(F.size(F.split(parts[0], r"\."))).alias("labels")
+    ).first()
+    keys = url_keys(F.col(url).cast("string"), longest.depth or 0, longest.labels or 1)
     asked = (
-        numbered.select(F.col(row), when.alias("t"), F.explode(url_keys(F.col(url).cast("string"))).alias("k"))
+        numbered.select(F.col(row), when.alias("t"), F.explode(keys).alias("k"))
         .where("t is not null")
         .select(row, "t", "k.key", "k.rank", F.floor(F.col("t") / period).alias("period"))
     )
-    ends = captures.select(F.min(when).alias("low"), F.max(when).alias("high")).first()
-    held = settle(intervals(entries))
     low, high = ends.low or 0, ends.high or 0
     # Intervals are cut to the time that captures span, so there are finitely many periods.
     spread = held.where((F.col("since") <= high) & (F.coalesce(F.col("until"), F.lit(high + 1)) > low)).select(

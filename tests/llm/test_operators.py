@@ -346,6 +346,19 @@ def test_url_lists(spark):
     assert url_lists.apply_lists(captures, entries.limit(0)).where("n_active > 0").count() == 0
 
 
+def test_long_keys_and_empty_segments(spark):
+    at = dt.datetime(2024, 1, 1)
+    long = ".".join(["label"] * 60)
+    entries = spark.createDataFrame([("a.org/x/y/z", at, "block"), ("a.org/x", at, "allow"), (long, at, "block")], "key string, at timestamp, action string")
+    captures = spark.createDataFrame([
+        (1, "http://a.org/x/y/z/more", at), (2, "http://a.org//x//y/z", at), (3, "http://a.org/x/y", at), (4, f"http://{long}/", at),
+        (5, f"http://sub.{long}/a/b", at),
+    ], "page_id long, url string, fetched_at timestamp")
+    got = {(r.page_id, r.n_active, r.verdict, r.rule) for r in url_lists.apply_lists(captures, entries).collect()}
+    assert got == {(1, 2, "block", "a.org/x/y/z"), (2, 2, "block", "a.org/x/y/z"), (3, 1, "allow", "a.org/x"),
+                   (4, 1, "block", long), (5, 1, "block", long)}
+
+
 # --- packing --------------------------------------------------------------------------------
 
 
