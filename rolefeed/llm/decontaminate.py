@@ -146,11 +146,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, t
     return out
 
 
-def _cut(text: str, windows: Windows, hits: list[int]) -> str:
+def _hits(block: W.Words, parts: list[Windows]) -> dict[int, set[int]]:
+    """Per contaminated text the positions of words that any of the parts hits."""
+    hits = defaultdict(set)
+    for windows in parts:
+        for i, (places, _) in _scan_block(block, windows).items():
+            hits[i].update(places.tolist())
+    return hits
+
+
+def _cut(text: str, parts: list[Windows], hits: set[int] | None) -> str:
     """``text`` without its hit words and what lies between them, until nothing is hit."""
-    while len(hits):
+    while hits:
         block = next(W.hashed_words(pa.array([text], pa.large_string()), W.ALPHANUMERIC))
-        hits = np.asarray(hits)
+        hits = np.asarray(sorted(hits))
         breaks = np.flatnonzero(np.diff(hits) > 1)
         firsts, lasts = hits[np.r_[0, breaks + 1]], hits[np.r_[breaks, len(hits) - 1]]
         raw, kept, at = block.data.tobytes(), [], 0
@@ -159,15 +168,16 @@ def _cut(text: str, windows: Windows, hits: list[int]) -> str:
             at = b
         text = b"".join([*kept, raw[at:]]).decode("utf-8", "replace")
         # Words that were apart may now form a window.
-        hits = _scan(pa.array([text], pa.large_string()), windows)[1][0].as_py()
+        again = next(W.hashed_words(pa.array([text], pa.large_string()), W.ALPHANUMERIC))
+        hits = _hits(again, parts).get(0)
     return text
 
 
-def _cut_all(texts: pa.Array, windows: Windows) -> list[pa.Array]:
+def _cut_all(texts: pa.Array, parts: list[Windows]) -> list[pa.Array]:
     kept = texts.to_pylist()
     for block in W.hashed_words(texts, W.ALPHANUMERIC):
-        for i, (places, _) in _scan_block(block, windows).items():
-            kept[block.first + i] = _cut(kept[block.first + i], windows, places)
+        for i, places in _hits(block, parts).items():
+            kept[block.first + i] = _cut(kept[block.first + i], parts, places)
     return [pa.array(kept, pa.string())]
 
 
@@ -176,16 +186,13 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: s
     """``docs`` without the passages of test items; the columns stay. A document of nothing but
     test items keeps what stands around its words.
 
-    With several slices every slice has a second pass, for windows that only form where cuts for
-    two slices meet.
+    A text is cut for all slices at once and scanned for all of them again until none hits it, so
+    the number of slices does not change the result.
     """
     parts = item_windows(benchmark, n, **options)
-    out = docs
-    for part in parts if len(parts) == 1 else [*parts, *parts]:
-        name = fresh("text")
-        cut = add_columns(out, [out[text]], f"{name} string", lambda a, p=part: _cut_all(a[0], p.value))
-        out = cut.select(*[cut[name].alias(text) if c == text else cut[c] for c in docs.columns])
-    return out
+    name = fresh("text")
+    cut = add_columns(docs, [docs[text]], f"{name} string", lambda a: _cut_all(a[0], [p.value for p in parts]))
+    return cut.select(*[cut[name].alias(text) if c == text else cut[c] for c in docs.columns])
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, **options) -> DataFrame:

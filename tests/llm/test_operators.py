@@ -213,6 +213,15 @@ def test_contamination(spark, slice_bytes):
     assert decontaminate.contamination_report(source, table.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 12])
+def test_spans_that_form_by_cutting(spark, slice_bytes):
+    items = [(i, f"x{i} y{i}") for i in range(14)]
+    nested = " ".join([*(f"x{i}" for i in reversed(range(14))), *(f"y{i}" for i in range(14))])
+    table = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.remove_spans(docs(spark, [(0, f"before {nested} after", "s")]), table, n=2, slice_bytes=slice_bytes)
+    assert out.first().text.split() == ["before", "after"]
+
+
 # --- token counts ---------------------------------------------------------------------------
 
 
