@@ -140,7 +140,7 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: s
 def _features(texts: pa.Array) -> list[pa.Array]:
     rows = []
     for _, counts in _counts(texts):
-        rows += [np.minimum(c, 65535).astype("<u2").tobytes() for c in counts]
+        rows += [c.astype("<u4").tobytes() for c in counts]
     return [pa.array(rows, pa.binary())]
 
 
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     rows = add_columns(sample, [sample["text"]], "counts binary", lambda a: _features(a[0])).select("label", "counts").collect()
     if not rows:
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    counts = np.stack([np.frombuffer(r.counts, "<u2") for r in rows])
+    counts = np.stack([np.frombuffer(r.counts, "<u4") for r in rows])
     x = _weighted(counts, idf)
     values, vectors = np.linalg.eigh(x.T.astype(np.float64) @ x)
     axes = vectors[:, np.argsort(-values)[:dimensions]].astype(np.float32)

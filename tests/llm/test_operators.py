@@ -484,5 +484,14 @@ def test_quality(spark):
     assert quality.score_documents(table.limit(0), model).count() == 0
 
 
+def test_long_labelled_texts_get_their_scored_vectors(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % quality.HELD_OUT][:8]
+    texts = ["ab" * 70000 + " some more text", *(prose(random.Random(i), 30) for i in ids[1:])]
+    table = docs(spark, [(i, t, "s") for i, t in zip(ids, texts)])
+    model = quality.fit(table, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int"))
+    scored = np.concatenate([model.project(counts) for _, counts in quality._counts(pa.array(texts))])
+    assert np.allclose(model.vectors, scored, atol=1e-4)
+
+
 def test_scratch_is_shared(spark):
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
