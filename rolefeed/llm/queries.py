@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolefeed.llm import (
-    archives, decontaminate, jaccard_join, line_dedup, neighbours, packing, quality, secret_scan,
-    token_counts, url_lists,
+    archives, decontaminate, hard_negatives, jaccard_join, line_dedup, neighbours, packing, quality,
+    secret_scan, token_counts, url_lists, whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,6 +204,38 @@ def op9_secret_scans(spark, sf_dir):
     )
 
 
+@query
+def op11_hard_negatives(spark, sf_dir):
+    """For every hundredth vector and its positives, the nearest rows of other labels below them."""
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", changed.alias("label"))
+    return hard_negatives.mine(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+@query
+def op13_embedding_whitening(spark, sf_dir):
+    """All vectors, whitened."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.per_component(whitening.whiten(vectors))
+
+
+ORACLE["op11_hard_negatives"] = """
+with f as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+   list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+   from embeddings where vec_id is not null and label is not null and embedding is not null
+   and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+ s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same,
+   cast(list_dot_product(a.v, b.v) as bigint) as score
+   from f a join f b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+ p as (select anchor_id, id as positive_id, score as positive_score from s where same
+   qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, p.positive_id, cast(row_number() over w as integer) as rank, s.id as negative_id,
+  p.positive_score, s.score as negative_score
+from p join s on p.anchor_id = s.anchor_id and not s.same
+  and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+window w as (partition by p.anchor_id, p.positive_id order by s.score desc, s.id)
+qualify rank <= 5"""
+
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 
 ORACLE["op7_url_filters"] = f"""
