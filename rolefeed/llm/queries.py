@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolefeed.llm import (
-    archives, decontaminate, hard_negatives, jaccard_join, line_dedup, neighbours, packing, quality,
-    secret_scan, token_counts, url_lists, whitening,
+    archives, decontaminate, hard_negatives, jaccard_join, line_dedup, neighbours, packing,
+    personal_data, quality, secret_scan, token_counts, url_lists, whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,6 +212,13 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives.mine(rows, rows.where(F.col("vec_id") % 100 == 0))
 
 
+@query
+def op12_pii(spark, sf_dir):
+    """Personal data in all documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return personal_data.report(docs, personal_data.train(docs))
+
+
 @query
 def op13_embedding_whitening(spark, sf_dir):
     """All vectors, whitened."""
