@@ -264,7 +264,10 @@ LINK_FIELDS = (
     ("link_ord", "bigint"), ("href", "string"), ("full_url", "string"), ("text", "string"),
 )
 CARD_FIELDS = (*LINK_FIELDS, ("heading_text", "string"), ("aria_label", "string"))
-CONTEXT_FIELD = ("context_text", "string")
+# A card's parent and the chunks of text inside it, and, in rows of their own, these chunks.
+PARENT_FIELDS = (("parent_ord", "bigint"), ("first_chunk", "bigint"), ("end_chunk", "bigint"))
+CHUNK_FIELDS = (("chunk_ord", "bigint"), ("chunk_text", "string"))
+TREE_FIELDS = (*CARD_FIELDS, *PARENT_FIELDS, *CHUNK_FIELDS)
 
 _ARROW = {"bigint": pa.int64(), "string": pa.string()}
 
@@ -276,20 +279,38 @@ def link_rows(url: str, html: str) -> Iterator[tuple]:
         yield i, a.href, _resolve(url, a.href), page.text(a)
 
 
-def card_rows(url: str, html: str, context: bool) -> Iterator[tuple]:
-    """One ``CARD_FIELDS`` tuple per ``<a href>``, plus the parent's text if asked for.
+def card_rows(url: str, html: str) -> Iterator[tuple]:
+    """One ``CARD_FIELDS`` tuple per ``<a href>``.
 
     An address that cannot be resolved spoils the whole page.
     """
-    page = PageReader(html)
+    for row, _ in _cards(PageReader(html), url):
+        yield row
+
+
+def _cards(page: PageReader, url: str) -> Iterator[tuple[tuple, _Anchor]]:
     hrefs = [a.href.strip() for a in page.anchors]
     resolved = [_resolve(url, href) for href in hrefs]
     if None in resolved:
         return
     for i, a in enumerate(page.anchors):
         heading = page.text(a.heading) if a.heading else None
-        row = (i, hrefs[i], resolved[i], page.text(a), heading, a.aria_label)
-        yield (*row, page.text(a.parent, " ")) if context else row
+        yield (i, hrefs[i], resolved[i], page.text(a), heading, a.aria_label), a
+
+
+def tree_rows(url: str, html: str) -> Iterator[tuple]:
+    """``TREE_FIELDS`` tuples: the cards of ``card_rows``, each with the number of its parent and the
+    interval of text chunks inside that, then every chunk that lies in some parent, once."""
+    page = PageReader(html)
+    parents: dict[int, tuple[int, _Span]] = {}
+    for row, anchor in _cards(page, url):
+        number, span = parents.setdefault(id(anchor.parent), (len(parents), anchor.parent))
+        yield (*row, number, span.start, span.end, None, None)
+    shown = 0
+    for start, end in sorted((span.start, span.end) for _, span in parents.values()):
+        for chunk in range(max(start, shown), end):
+            yield (*[None] * (len(CARD_FIELDS) + len(PARENT_FIELDS)), chunk, page.chunks[chunk])
+        shown = max(shown, end)
 
 
 def _gather(batch: pa.RecordBatch, keys, fields, indices, rows) -> pa.RecordBatch:

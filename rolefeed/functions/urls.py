@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,20 +30,24 @@ def workday_board(url: Column) -> tuple[Column, Column, Column]:
     return tenant, host, site
 
 
-def detect_platform(url: Column) -> Column:
-    """Platform named by the first known fragment in the URL (case-sensitive), else generic."""
-    known = ((url.contains(f), F.lit(name)) for f, name in rules.PLATFORM_BY_URL_FRAGMENT)
+Fragments = Sequence[tuple[str, str]]
+
+
+def detect_platform(url: Column, more: Fragments = ()) -> Column:
+    """Platform named by the first known fragment in the URL (case-sensitive), else generic. ``more``
+    fragments and names are tried first."""
+    known = ((url.contains(f), F.lit(name)) for f, name in (*more, *rules.PLATFORM_BY_URL_FRAGMENT))
     return first_match(known, F.lit(rules.GENERIC))
 
 
-def resolve_type(explicit: Column, url: Column) -> Column:
+def resolve_type(explicit: Column, url: Column, more: Fragments = ()) -> Column:
     """The catalog's own type when it has one, even a wrong one; else the detected platform."""
-    return F.coalesce(falsy_to_null(explicit), detect_platform(url))
+    return F.coalesce(falsy_to_null(explicit), detect_platform(url, more))
 
 
-def route(resolved: Column) -> Column:
+def route(resolved: Column, more: Fragments = ()) -> Column:
     """Platforms without a payload normaliser, unknown names included, go the generic way."""
-    known = [platform for _, platform in rules.PLATFORM_BY_URL_FRAGMENT]
+    known = [platform for _, platform in (*more, *rules.PLATFORM_BY_URL_FRAGMENT)]
     return F.when(resolved.isin(known), resolved).otherwise(F.lit(rules.GENERIC))
 
 

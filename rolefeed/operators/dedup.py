@@ -28,10 +28,10 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 
 
-def first_per_page(df: DataFrame, page: str = "page_id") -> DataFrame:
+def first_per_page(df: DataFrame, *page: str) -> DataFrame:
     """First accepted link per page and resolved address. Filter before calling: a rejected link
     must not hide a later one."""
-    return first_by(df, [page, "full_url"], ["link_ord"])
+    return first_by(df, [*(page or ("page_id",)), "full_url"], ["link_ord"])
 
 
 def first_per_url(df: DataFrame, order: Sequence[str] = RUN_ORDER) -> DataFrame:

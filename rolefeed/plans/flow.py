@@ -10,11 +10,12 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolefeed import rules
+from rolefeed import files, rules
 from rolefeed.operators.fallback import generic_postings
 from rolefeed.operators.filters import title_matches, too_senior, with_experience
 from rolefeed.operators.report import company_metrics, run_metrics, write_digest, write_metrics
-from rolefeed.session import broadcast_if_small, settle
+from rolefeed.session import broadcast_if_small, settle, settled_paths
+from rolefeed.sources.adapters import Adapter, fetched, layouts
 from rolefeed.sources.catalog import routed
 from rolefeed.sources.payloads import normalise_all, quarantined, usable, with_catalog
 from rolefeed.sources.seen import record_new
@@ -43,35 +44,44 @@ class Rules:
         )
 
 
-def platform_rows(catalog: DataFrame, payloads: DataFrame, chosen: Rules = Rules()) -> DataFrame:
+def platform_rows(
+    catalog: DataFrame, payloads: DataFrame, chosen: Rules = Rules(), adapters: Sequence[Adapter] = ()
+) -> DataFrame:
     """Postings of the wanted roles from platform responses, and the records that cannot be used.
 
     Responses are parsed once; only what can still matter is kept.
     """
-    adapted = routed(catalog).where(F.col("source_type") != rules.GENERIC)
-    rows = normalise_all(with_catalog(payloads, broadcast_if_small(adapted)))
+    adapted = routed(catalog, adapters).where(F.col("source_type") != rules.GENERIC)
+    rows = normalise_all(with_catalog(payloads, broadcast_if_small(adapted)), layouts(adapters))
+    for adapter in adapters:
+        if adapter.fetch:
+            rows = rows.unionByName(fetched(adapted, adapter), allowMissingColumns=True)
     title = F.col("title")
     wanted = title_matches(title, chosen.keywords) & ~too_senior(title, chosen.exclude)
     return settle(rows.where(F.col("bad").isNotNull() | wanted))
 
 
+def generic_companies(catalog: DataFrame, adapters: Sequence[Adapter] = ()) -> DataFrame:
+    """Number and name of the companies whose career pages are read."""
+    return routed(catalog, adapters).where(F.col("source_type") == rules.GENERIC).select(
+        "company_ord", F.col("name").alias("company")
+    )
+
+
 def matching_postings(
     catalog: DataFrame,
     platform: DataFrame,
     static_pages: DataFrame,
     rendered_pages: DataFrame,
     chosen: Rules = Rules(),
+    adapters: Sequence[Adapter] = (),
 ) -> DataFrame:
     """Postings of the wanted roles from every source, with ``yoe_note`` and ``yoe_ok``.
 
     ``platform`` comes from ``platform_rows``. Experience is judged last: titles are tested before
     any description is parsed.
     """
-    companies = routed(catalog)
-    generic = companies.where(F.col("source_type") == rules.GENERIC).select(
-        "company_ord", F.col("name").alias("company")
-    )
-    generic = broadcast_if_small(generic)
+    generic = broadcast_if_small(generic_companies(catalog, adapters))
     html = generic_postings(
         static_pages.join(generic, "company_ord"),
         rendered_pages.join(generic, "company_ord") if chosen.use_rendered else None,
@@ -89,6 +99,13 @@ class Outcome(NamedTuple):
     companies: DataFrame  # matched and dropped postings per catalog company
     totals: DataFrame  # one row: new postings, postings dropped for experience
     quarantined: DataFrame  # records that could not be used, and why
+    scratch: tuple[str, ...] = ()  # folders that the metrics and the quarantine are read from
+
+    def close(self) -> None:
+        """Remove what the run has written to the shared folder for its own use. ``new`` stays
+        readable; the rest of the outcome does not."""
+        for path in self.scratch:
+            files.remove(self.new.sparkSession, path)
 
 
 def run(
@@ -102,16 +119,19 @@ def run(
     digest_path: str | None = None,
     metrics_path: str | None = None,
     chosen: Rules = Rules(),
+    adapters: Sequence[Adapter] = (),
 ) -> Outcome:
     """One run: collect, filter, report what is new.
 
-    The digest is made from the committed rows, so a lost one can be made again.
+    The digest is made from the committed rows, so a lost one can be made again. ``adapters`` are
+    platforms besides the library's own. Call ``close`` on the outcome once it has been read.
     """
-    platform = platform_rows(catalog, payloads, chosen)
-    matches = settle(matching_postings(catalog, platform, static_pages, rendered_pages, chosen))
-    new = record_new(matches.where("yoe_ok"), seen_path, run_id, run_ts)
-    if digest_path:
-        write_digest(new, digest_path)
+    with settled_paths() as scratch:
+        platform = platform_rows(catalog, payloads, chosen, adapters)
+        matches = settle(matching_postings(catalog, platform, static_pages, rendered_pages, chosen, adapters))
+        new = record_new(matches.where("yoe_ok"), seen_path, run_id, run_ts)
+        if digest_path:
+            write_digest(new, digest_path)
     companies, totals = company_metrics(catalog, matches), run_metrics(new, matches)
     bad = quarantined(platform).select(
         "company_ord", "company", "source_type", "posting_ord", F.col("bad").alias("reason")
@@ -120,4 +140,4 @@ def run(
         write_metrics(companies, f"{metrics_path}/companies", run_id)
         write_metrics(totals, f"{metrics_path}/totals", run_id)
         write_metrics(bad, f"{metrics_path}/quarantined", run_id)
-    return Outcome(new, companies, totals, bad)
+    return Outcome(new, companies, totals, bad, tuple(scratch))

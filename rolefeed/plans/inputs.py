@@ -89,6 +89,44 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"))
 
 
+# The links of ``nested_pages``: a list item holds a box with a first link, which holds a heading, and
+# behind the box a second link.
+NESTED_ITEM = (
+    '<li><div>Open <a href="/jobs/$1"><h3>Role $2</h3> <i>apply</i></a></div> till <b>May</b> '
+    '<a href="/jobs/x$1">$2 more</a></li>'
+)
+NESTED_FRAGMENTS = ("/jobs/",)
+
+
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` whose list items hold links with headings, in parents inside parents."""
+    item = r'<li><a href="/([^"]*)">([^<]*)</a></li>'
+    return pages(spark, sf_dir).withColumn("html", F.regexp_replace("html", item, NESTED_ITEM))
+
+
+# Addresses of every form that a page may hold.
+ADDRESS_FORMS = (
+    "x/y", "./x?q=1#f", "../x", "../../../x", "/a/./b/../c/", "?n=1", "#top", "//cdn.example.com/x", "mailto:a@b.example", "",
+    "HTTP://Up.example/X/../Y", "x//y", "g;p=1/../h", " x y ", "..", ".", "g;p=1", "http://[bad", "http://[::1]:80/x", "x?a=/../b",
+)
+
+
+def seventh_payloads(spark: SparkSession, sf_dir: str, source_type: str) -> DataFrame:
+    """``postings`` of every second company as responses of a platform of its own."""
+    item = F.struct(
+        "posting_ord", F.col("title").alias("headline"),
+        F.when(F.col("posting_ord") % 4 > 0, F.col("posting_ord")).alias("ref"), F.col("description").alias("summary"),
+    )
+    page = (F.col("posting_ord") - F.col("posting_ord") % PAGE_IDS).alias("page_offset")
+    grouped = postings(spark, sf_dir).where("company_ord % 2 = 0").groupBy("company_ord", page).agg(
+        F.array_sort(F.collect_list(item)).alias("items"))
+    shaped = F.transform("items", lambda x: x.dropFields("posting_ord"))
+    return grouped.select(
+        "company_ord", F.lit(source_type).alias("source_type"), "page_offset",
+        F.to_json(F.struct(shaped.alias("openings")), {"ignoreNullFields": "false"}).alias("body"),
+    )
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -150,9 +188,10 @@ def payloads(spark: SparkSession, sf_dir: str, source_type: str | None = None) -
             F.when(even(x), x.description).alias("descriptionPlain"),
             F.when(~even(x), x.description).alias("description"),
         )), keep),
-        "smartrecruiters": F.to_json(F.struct(items(lambda x: F.struct(
+        # Numbers as ids, those that end in 7 with a decimal point.
+        "smartrecruiters": F.regexp_replace(F.regexp_replace(F.to_json(F.struct(items(lambda x: F.struct(
             F.substring_index(x.url, "/", -1).alias("id"), x.title.alias("name"),
-        )).alias("content")), keep),
+        )).alias("content")), keep), r'"id":"([0-9]*7)"', '"id":$1.0'), r'"id":"([0-9]*3)"', '"id":$1'),
         "ashby": F.to_json(F.struct(items(lambda x: F.struct(
             x.title.alias("title"), F.when(even(x), x.url).alias("jobUrl"),
             F.when(~even(x), x.url).alias("applyUrl"), x.description.alias("descriptionHtml"),
@@ -172,9 +211,15 @@ def payloads(spark: SparkSession, sf_dir: str, source_type: str | None = None) -
     )
 
 
+# The description fields of all platforms, and what stands for nothing in them.
+DESCRIPTION_FIELDS = "content|descriptionPlain|description|descriptionHtml|description_short"
+NOTHING = ("false", "0", "[]", "{}", "0.0")
+
+
 def damaged_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``payloads`` whose first response per company is cut off, lacks the title field, or has
-    null titles, for three of every five companies."""
+    null titles, for three of every five companies. For a fourth its descriptions are empty values
+    of other types, which do no damage."""
     key = _choose(F.col("source_type"), {k: F.lit(v) for k, v in TITLE_FIELD.items()})
     quoted = F.concat(F.lit('"'), key, F.lit('":'))
     body, kind = F.col("body"), F.col("company_ord") % 5
@@ -184,5 +229,9 @@ def damaged_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 1, F.expr("substring(body, 1, length(body) - 20)"))
         .when(kind == 2, F.replace(body, quoted, F.lit('"x":')))
         .when(kind == 3, F.regexp_replace(body, F.concat(quoted, F.lit('"[^"]*"')), F.concat(quoted, F.lit("null"))))
+        .when(kind == 4, F.regexp_replace(
+            body, F.lit(f'"({DESCRIPTION_FIELDS})":(?:"[^"]*"|null)'),
+            F.concat(F.lit('"$1":'), F.get(F.array(*map(F.lit, NOTHING)), (F.col("company_ord") % len(NOTHING)).cast("int"))),
+        ))
         .otherwise(body),
     )

@@ -81,7 +81,7 @@ _URL = {
     "lever": "url",
     "ashby": "url",
     "smartrecruiters": "concat('https://jobs.smartrecruiters.com/c', cast(company_ord as varchar), '/', "
-                       "coalesce(regexp_extract(url, '([^/]*)$', 1), 'None'))",
+                       "coalesce(regexp_extract(url, '([^/]*)$', 1) || case when url like '%7' then '.0' else '' end, 'None'))",
     "workday": "case when coalesce(path, '') = '' then " + _catalog_url("workday")
                + " else concat('https://t', cast(company_ord as varchar), '.wd5.myworkdayjobs.com', path) end",
     "amazon": "case when coalesce(path, '') = '' then " + _catalog_url("amazon")
@@ -209,6 +209,30 @@ _ORD = "company_ord, posting_ord"
 _LANDING = "case " + " ".join(
     f"when run_id < {high} then {i}" for i, high in enumerate(registry.LANDINGS[1:])) + " end"
 
+# A heading of more than four characters is the title; the whole link text has no blank in it.
+_role_title = "case when length('Role ' || text) > 4 then 'Role ' || text else 'Role ' || text || 'apply' end"
+
+_FORM = {
+    "x/y": "site || dir || 'x/y'", "./x?q=1#f": "site || dir || 'x?q=1#f'", "../x": "site || up || 'x'",
+    "../../../x": "site || '/x'", "/a/./b/../c/": "site || '/a/c/'", "?n=1": "site || path || '?n=1'",
+    "#top": "site || path || q || '#top'", "//cdn.example.com/x": "scheme || '://cdn.example.com/x'",
+    "mailto:a@b.example": "href", "": "url",
+    "HTTP://Up.example/X/../Y": "case scheme when 'http' then 'http://Up.example/X/../Y' else href end",
+    "x//y": "site || dir || 'x/y'", "g;p=1/../h": "site || dir || 'h'", " x y ": "site || dir || 'x y '",
+    "..": "site || up", ".": "site || dir", "g;p=1": "site || dir || 'g;p=1'", "http://[bad": "null",
+    "http://[::1]:80/x": "href", "x?a=/../b": "site || dir || 'x?a=/../b'",
+}
+RESOLVED_FORMS = f"""with u as (select page_id, url, regexp_extract(url, '^(https?)', 1) as scheme,
+   regexp_extract(url, '^(https?://[^/?#]+)', 1) as site, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) as path,
+   regexp_extract(url, '([?][^#]*)', 1) as q from pages),
+ d as (select *, regexp_extract(path, '^(.*/)', 1) as dir from u),
+ f as (select *, regexp_replace(dir, '[^/]+/$', '') as up, unnest({_list(inputs.ADDRESS_FORMS)}) as href,
+   unnest(range({len(inputs.ADDRESS_FORMS)})) as form from d)
+ select page_id, cast(form as integer) as form, case href
+   {" ".join(f"when {_list([form])[1:-1]} then {value}" for form, value in _FORM.items())} end as resolved from f"""
+
+_DAY = "case cast(posting_ord % 5 as int) " + " ".join(f"when {i} then {day}" for i, day in enumerate(registry.LANDED_DAYS)) + " end"
+
 ORACLE = {
     "flagship": _postings(NEW) + "select company_ord, posting_ord, company, title, url, yoe_note from new",
     "catalog_scan": f"select company_ord, name, url, type from ({CATALOG})",
@@ -251,6 +275,46 @@ ORACLE = {
  runs as (select * replace (cast({_SINCE} as int) as run_id) from p)""")
     + f"""select cast(run_id as bigint) as run_id, company_ord, posting_ord, company, title, url,
       timestamp '2025-01-01' as first_seen from ({_first('runs', 'run_id, ' + _ORD)})""",
+    "seen_commit": _postings(f""",
+ runs as (select * replace (cast({_SINCE} as int) as run_id) from p),
+ some as ({_first('runs', 'run_id, ' + _ORD, 'run_id = 0 or posting_ord % 2 = 0')}),
+ whole as ({_first('runs', 'run_id, ' + _ORD)}),
+ states as (select *, unnest(['before', 'kept']) as state from some union all select *, 'after' from whole)""")
+    + "select cast(run_id as bigint) as run_id, company_ord, posting_ord, company, title, url, state from states",
+    "seen_compacted": _postings(""",
+ years as (select * replace (run_id // 100 as run_id), run_id as month from p)""")
+    + _first("years", "month, " + _ORD, columns="run_id, company_ord, posting_ord, title, url"),
+    "card_contexts": LINKS + f""", n as (select page_id, unnest([0, 1]) as second, link_ord, url, href, text,
+   regexp_extract(url, '^(https?://[^/]+)', 1) as site from links)
+ select page_id, 2 * link_ord + second as link_ord,
+   site || case second when 0 then '/jobs' || href else '/jobs/x' || substr(href, 2) end as full_url,
+   case second when 0 then {_role_title} else text || ' more' end as title,
+   case second when 0 then 'Open Role ' || text || ' apply'
+     else 'Open Role ' || text || ' apply till May ' || text || ' more' end as context_text
+ from n""",
+    "fetch_outstanding": ROUTED + f""",
+ e as (select company_ord, source_type, coalesce(total, 0) as total, source_type in ('workday', 'amazon') as paged,
+   case source_type when 'workday' then 20 when 'amazon' then 100 else 1 end as lim, ceil(coalesce(total, 0) / 2) as half
+   from routed where source_type <> 'workday' or {_part(1)} is not null),
+ o as (select *, cast(unnest(range(0, case when paged then greatest(total, 1) else 1 end, lim)) as bigint) as page_offset from e),
+ r as (select *, case when page_offset = 0 then 0 when page_offset < half then 1
+   when half > lim and not (company_ord % 7 = 3 and half > 2 * lim) then 2 end as round from o)
+ select company_ord, source_type, page_offset, cast(round as bigint) as round from r where round is not null""",
+    "adapter_run": _postings(f""",
+ seventh as (select company_ord, posting_ord // {inputs.PAGE_IDS} * {inputs.PAGE_IDS}
+     + row_number() over (partition by company_ord, posting_ord // {inputs.PAGE_IDS} order by posting_ord) - 1 as posting_ord,
+   company, title, case when posting_ord % 4 > 0 then concat('https://roleboard.example/o/', cast(posting_ord as varchar))
+     else concat('https://roleboard.example/c', cast(company_ord as varchar)) end as url, {PLAIN} as description
+   from p where company_ord % 2 = 0),
+ called as (select cast(n_nationkey as bigint) as company_ord, unnest([0, 1]) as posting_ord, n_name as company,
+   concat('Software Engineer, ', n_name) as title, n_nationkey as k from nation where n_nationkey % 2 = 1 and n_name <> 'CHINA'),
+ both_kinds as (select * from seventh union all
+   select company_ord, posting_ord, company, title, concat('https://called.example/c', cast(k as varchar), '/', cast(posting_ord + 1 as varchar)),
+     concat(cast(posting_ord + 1 as varchar), ' years of experience') from called),
+ judged as (select *, {_yoe('description')} as yoe from both_kinds where {KEYWORD} and not {SENIOR}),
+ passed as (select *, {NOTE} as yoe_note from judged where yoe is null or yoe <= 1)""")
+    + _first("passed", _ORD, columns="company_ord, posting_ord, company, title, url, yoe_note"),
+    "resolve_url": RESOLVED_FORMS,
     "clean_text": f"select doc_id, {_clean('text')} as cleaned from documents",
     "html_to_text": f"select page_id, {_clean(_unescape(_TEXT_OF_PAGE))} as plain from pages",
     "description_text": _postings() + f"select posting_ord, {PLAIN} as plain from p",
@@ -363,5 +427,33 @@ ORACLE = {
  """ + _first("passed", _ORD, columns="company_ord, posting_ord, company, title, url, yoe_note"),
 }
 
+
+
+def _bounded() -> str:
+    """A url is known until the watermark, the last landing's day less the delay, passes the day of
+    its report plus the delay."""
+    days, delay, steps = registry.LANDED_DAYS, int(registry.FORGET.split()[0]), []
+    for k, day in enumerate(days):
+        known = [j for j in range(k) if days[j] + delay > days[k - 1] - delay]
+        fresh = " and ".join(["true", *(f"url not in (select url from e{j})" for j in known)])
+        steps.append(f"e{k} as (select * from l where day = {day} and {fresh})")
+    found = " union all ".join(f"select *, 1 as n from e{k}" for k in range(len(days)))
+    return _postings(f""",
+ l as (select distinct {_DAY} as day, url from p where url is not null),
+ {", ".join(steps)}""") + f"""select cast(day as bigint) as day, url, cast(n as bigint) as n from ({found}
+   union all select {_DAY}, null, count(*) from p where url is null group by 1)"""
+
+
+ORACLE["stream_bounded"] = _bounded()
+
+ORACLE["stream_pages"] = ORACLE["fallback"]
+ORACLE["stream_landings"] = ORACLE["full_run"]
+ORACLE["stream_metrics"] = _postings(FLAGGED + f""",
+ first_rows as ({_first('flagged', 'run_id, ' + _ORD, 'yoe_ok')}),
+ new as (select {_LANDING} as landing, count(*) as n from first_rows group by all),
+ gone as (select {_LANDING} as landing, count(*) filter (where not yoe_ok) as n from flagged group by all)""") + """
+ select cast(gone.landing as bigint) as run_id, coalesce(new.n, 0) as new_postings, gone.n as dropped_for_experience
+ from gone left join new on gone.landing = new.landing"""
+
 # The run keeps the same records that the normalisers set aside.
 ORACLE["run_quarantine"] = ORACLE["quarantine_report"]

@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import json
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolefeed import rules, schemas
-from rolefeed.functions import experience, text, urls
+from rolefeed.functions import experience, resolve, text, urls
 from rolefeed.operators import dedup, fallback, filters, report
 from rolefeed.plans import flow, inputs
 from rolefeed.session import settle, shared_dir
+from rolefeed.sources.adapters import Adapter
 from rolefeed.sources import catalog as catalogs
 from rolefeed.sources import fetch_plan as plans
 from rolefeed.sources import pages as html_pages
 from rolefeed.sources import payloads as responses
 from rolefeed.sources import seen as seen_store
-from rolefeed.streaming import incremental
+from rolefeed.streaming import incremental, landings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +38,8 @@ PAGE_BOILERPLATE = ("ther", "tion")
 LANDINGS = (0, 199501, 199701, 999999)
 SPLIT_RUN = 199601
 RUN_TS = dt.datetime(2025, 1, 1)
+RUN_YEARS = range(1992, 1999)
+SEEN_COLUMNS = ("run_id", "company_ord", "posting_ord", "company", "title", "url")
 
 
 def query(function: Query) -> Query:
@@ -141,11 +147,84 @@ def rendered_cards(spark, sf_dir):
     return html_pages.page_cards(inputs.pages(spark, sf_dir), context=True)
 
 
+@query
+def card_contexts(spark, sf_dir):
+    """The accepted cards of pages whose links hold headings and have parents inside parents, each
+    with the text around it."""
+    pages = inputs.nested_pages(spark, sf_dir)
+    cards = html_pages.job_cards(pages, inputs.NESTED_FRAGMENTS, (), context=True)
+    return cards.select("page_id", "link_ord", "full_url", "title", "context_text")
+
+
 @query
 def fetch_plan(spark, sf_dir):
     return plans.fetch_plan(catalogs.routed(inputs.catalog(spark, sf_dir)))
 
 
+def _site(catalog, requests):
+    """Answers to requests: the first page of a listing reports half of it; every seventh company's
+    third page and those behind it are empty."""
+    of = requests.join(catalog.select("company_ord", "total"), "company_ord")
+    limit = F.when(F.col("source_type") == "workday", rules.WORKDAY_LIMIT).otherwise(rules.AMAZON_LIMIT)
+    total = F.coalesce("total", F.lit(0))
+    said = F.when(F.col("page_offset") == 0, F.ceil(total / 2)).otherwise(total)
+    rows = F.greatest(F.least(total - F.col("page_offset"), limit), F.lit(0))
+    rows = F.when((F.col("company_ord") % 7 == 3) & (F.col("page_offset") >= 2 * limit), 0).otherwise(rows)
+    items = F.array_repeat(F.struct(F.lit("x").alias("title")), rows.cast("int"))
+    body = (
+        F.when(F.col("source_type") == "workday", F.to_json(F.struct(said.alias("total"), items.alias("jobPostings"))))
+        .when(F.col("source_type") == "amazon", F.to_json(F.struct(said.alias("hits"), items.alias("jobs"))))
+        .otherwise("{}")
+    )
+    return of.select("company_ord", "source_type", "page_offset", body.alias("body"))
+
+
+@query
+def fetch_outstanding(spark, sf_dir):
+    """The requests of every round until nothing is outstanding, on a site whose totals grow."""
+    catalog = settle(catalogs.routed(inputs.catalog(spark, sf_dir)))
+    asked, _ = plans.fetch_rounds(catalog, lambda todo: _site(catalog, todo))
+    return asked.select("company_ord", "source_type", "page_offset", "round")
+
+
+# A platform that the library does not know: its responses, and the addresses of its companies.
+SEVENTH = Adapter(
+    name="roleboard", fragment="roleboard.example/",
+    layout=responses.Platform(
+        items="openings",
+        fields=(responses.Field("headline", required=True, nullable=False), responses.Field("ref", text=False, optional=True),
+                responses.Field("summary", optional=True)),
+        title=lambda: responses.value_of("headline"),
+        url=lambda: urls.host_path(F.lit("https://roleboard.example/o/"), responses.value_of("ref"), F.col("catalog_url")),
+        description=lambda: text.html_to_text(responses.value_of("summary")),
+    ),
+)
+
+
+def _fetch_two(company, url):
+    """Two postings for any company but one."""
+    if company == "CHINA":
+        raise ConnectionError(url)
+    return [{"title": f"Software Engineer, {company}", "url": f"{url}/{n}", "description": f"<p>{n} years of experience</p>"} for n in (1, 2)]
+
+
+CALLED = Adapter(name="called", fragment="called.example/", fetch=_fetch_two)
+
+
+@query
+def adapter_run(spark, sf_dir):
+    """A run over two platforms of a user's own, one by its landed responses, one called per company;
+    the rows it reports."""
+    own = F.when(F.col("company_ord") % 2 == 0, "https://roleboard.example/c").otherwise("https://called.example/c")
+    catalog = settle(inputs.companies(spark, sf_dir).select(
+        "company_ord", "name", F.concat(own, F.col("company_ord").cast("string")).alias("url"), F.lit(None).cast("string").alias("type")
+    ))
+    payloads = settle(inputs.seventh_payloads(spark, sf_dir, SEVENTH.name))
+    pages = spark.createDataFrame([], schemas.PAGE)
+    outcome = flow.run(catalog, payloads, pages, pages, shared_dir(spark), 0, RUN_TS, adapters=(SEVENTH, CALLED))
+    return outcome.new.select("company_ord", "posting_ord", "company", "title", "url", "yoe_note")
+
+
 @query
 def reported_totals(spark, sf_dir):
     return responses.reported_totals(inputs.payloads(spark, sf_dir))
@@ -164,6 +243,45 @@ def seen_append(spark, sf_dir):
     )
 
 
+def _broken(df):
+    """``df`` whose last rows cannot be computed, as if the job failed on the way."""
+    fails = F.when(F.col("posting_ord") % 5 == 0, F.raise_error(F.lit("lost"))).otherwise(F.col("title"))
+    return df.withColumn("title", fails.cast("string"))
+
+
+@query
+def seen_commit(spark, sf_dir):
+    """The seen table after a run, a run that fails while it writes, and that run once more. While
+    it fails the table stays as it was."""
+    history, path = inputs.postings(spark, sf_dir), shared_dir(spark)
+    earlier, later = history.where(F.col("run_id") < SPLIT_RUN), history.where(F.col("run_id") >= SPLIT_RUN)
+    seen_store.record_new(earlier, path, 0, RUN_TS)
+    seen_store.record_new(later.where("posting_ord % 2 = 0"), path, 1, RUN_TS)
+    before = seen_store.read_seen(spark, path).select(*SEEN_COLUMNS, F.lit("before").alias("state"))
+    try:
+        seen_store.append_run(_broken(later), path, 1, RUN_TS)
+    except PySparkException:
+        pass
+    else:
+        raise AssertionError("the run was to fail")
+    kept = seen_store.read_seen(spark, path).select(*SEEN_COLUMNS, F.lit("kept").alias("state"))
+    seen_store.record_new(later, path, 1, RUN_TS)
+    after = seen_store.read_seen(spark, path).select(*SEEN_COLUMNS, F.lit("after").alias("state"))
+    return before.unionByName(kept).unionByName(after)
+
+
+@query
+def seen_compacted(spark, sf_dir):
+    """What each year's run reports when the table is merged after every second run, the runs of two
+    merged years are repeated, and everything is merged at the end."""
+    history, path = inputs.postings(spark, sf_dir), shared_dir(spark)
+    for year in (*RUN_YEARS, RUN_YEARS[1], RUN_YEARS[4]):
+        part = history.where(F.floor(F.col("run_id") / 100) == year)
+        seen_store.record_new(part, path, year, RUN_TS, order=dedup.HISTORY_ORDER, merge_after=2)
+    seen_store.merge(spark, path, everything=True)
+    return seen_store.read_seen(spark, path).select("run_id", "company_ord", "posting_ord", "title", "url")
+
+
 # --- scalar functions ---------------------------------------------------------------------
 
 
@@ -198,6 +316,14 @@ def workday_url_parts(spark, sf_dir):
     )
 
 
+@query
+def resolve_url(spark, sf_dir):
+    """Addresses of every form against the address of every page."""
+    forms = F.array(*map(F.lit, inputs.ADDRESS_FORMS))
+    pages = inputs.pages(spark, sf_dir).select("page_id", "url", F.posexplode(forms).alias("form", "href"))
+    return pages.select("page_id", "form", resolve.resolved(F.col("url"), F.col("href")).alias("resolved"))
+
+
 @query
 def detect_platform(spark, sf_dir):
     return inputs.catalog(spark, sf_dir).select(
@@ -457,9 +583,8 @@ def preview(spark, sf_dir):
 PAGE_COMPANY_BASE = 1000
 
 
-@query
-def full_run(spark, sf_dir):
-    """One run over platform responses and career pages; the rows it reports."""
+def _everything(spark, sf_dir):
+    """Catalog, platform responses, career pages and rules of a whole run."""
     page_companies = _one_page_companies(spark, sf_dir).withColumn(
         "company_ord", F.col("company_ord") + PAGE_COMPANY_BASE
     )
@@ -475,7 +600,15 @@ def full_run(spark, sf_dir):
     chosen = flow.Rules(
         keywords=(*rules.KEYWORDS, *FALLBACK_KEYWORDS), fragments=PAGE_FRAGMENTS, boilerplate=PAGE_BOILERPLATE
     )
+    return catalog, payloads, landed, chosen
+
+
+@query
+def full_run(spark, sf_dir):
+    """One run over platform responses and career pages; the rows it reports."""
+    catalog, payloads, landed, chosen = _everything(spark, sf_dir)
     outcome = flow.run(catalog, payloads, landed, landed, shared_dir(spark), 0, RUN_TS, chosen=chosen)
+    outcome.close()
     return outcome.new.select("company_ord", "posting_ord", "company", "title", "url", "yoe_note")
 
 
@@ -515,7 +648,7 @@ def rule_files(spark, sf_dir):
     return filters.experience_gate(rows, chosen.max_years).select("posting_ord", "title", "yoe_note")
 
 
-def _replay(spark, sf_dir, **options):
+def _replay(spark, sf_dir, after=None, **options):
     """Land the history in parts and process each with its own stream run."""
     base = shared_dir(spark)
     names = schemas.POSTING.names
@@ -528,10 +661,13 @@ def _replay(spark, sf_dir, **options):
         part = history.where((F.col("run_id") >= low) & (F.col("run_id") < high))
         part.select(*names).write.mode("append").parquet(f"{base}/landed")
         stream = incremental.landed_stream(spark, f"{base}/landed", schemas.POSTING)
-        incremental.report_new(
+        query = incremental.report_new(
             stream, f"{base}/seen", f"{base}/checkpoint", order=dedup.HISTORY_ORDER,
             run_ts=lambda batch_id: RUN_TS, **options,
-        ).awaitTermination()
+        )
+        query.awaitTermination()
+        if after:
+            after(query, f"{base}/seen")
     return base
 
 
@@ -549,3 +685,93 @@ def stream_digest(spark, sf_dir):
 
     base = _replay(spark, sf_dir, to_postings=matching, digest_path="digest")
     return spark.read.text(f"{base}/digest").select(F.col("run_id").cast("bigint").alias("run_id"), "value")
+
+
+@query
+def stream_metrics(spark, sf_dir):
+    """Metrics of every micro-batch as observed on the way through."""
+    def matching(stream):
+        return stream.transform(filters.role_filter).transform(filters.with_experience)
+
+    found = []
+    _replay(spark, sf_dir, gate=matching, after=lambda query, seen: found.append(incremental.observed_metrics(query, seen)))
+    return settle(functools.reduce(DataFrame.unionByName, found))
+
+
+# A posting counts as landed at the begin of its landing; a url is forgotten after so long.
+LANDED_DAYS = (0, 10, 25, 32, 60)
+FORGET = "10 days"
+
+
+@query
+def stream_bounded(spark, sf_dir):
+    """What a stream of bounded memory reports per landing: urls, and how many postings without."""
+    base = shared_dir(spark)
+    history = inputs.postings(spark, sf_dir).select("posting_ord", "company_ord", "url")
+    schema = "posting_ord bigint, company_ord bigint, url string, landed_at timestamp_ntz"
+    for number, day in enumerate(LANDED_DAYS):
+        at = F.lit((RUN_TS + dt.timedelta(days=day)).isoformat()).cast("timestamp_ntz")
+        part = history.where(F.pmod(F.col("posting_ord"), F.lit(len(LANDED_DAYS))) == number)
+        part.withColumn("landed_at", at).write.mode("append").parquet(f"{base}/landed")
+        stream = incremental.landed_stream(spark, f"{base}/landed", T.StructType.fromDDL(schema))
+        new = incremental.new_within(stream, FORGET, "landed_at")
+        incremental.append_batches(new, f"{base}/new", f"{base}/checkpoint").awaitTermination()
+    days = F.datediff(F.col("landed_at").cast("date"), F.lit(RUN_TS.date())).cast("bigint")
+    return spark.read.parquet(f"{base}/new").groupBy(days.alias("day"), "url").agg(F.count("*").alias("n"))
+
+
+def _land(spark, parts, run):
+    """Land rows of ``schemas.LANDING`` part by part, with a stream run after each."""
+    base = shared_dir(spark)
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/landed")
+        stream = incremental.landed_stream(spark, f"{base}/landed", schemas.LANDING)
+        run(stream, f"{base}/state", f"{base}/checkpoint", f"{base}/out").awaitTermination()
+    return f"{base}/out"
+
+
+FALLBACK_RULES = flow.Rules(
+    keywords=FALLBACK_KEYWORDS, exclude=("los", "las"), fragments=PAGE_FRAGMENTS, boilerplate=PAGE_BOILERPLATE
+)
+
+
+@query
+def stream_pages(spark, sf_dir):
+    """Career pages that land in three parts, a third of the companies with the rendered page first,
+    a third with the static one first, a third with both at once; the postings of all batches."""
+    companies = _one_page_companies(spark, sf_dir)
+    catalog = settle(companies.select("company_ord", F.col("company").alias("name"), "url", F.lit("generic").alias("type")))
+    pages = companies.drop("company")
+    static, rendered = landings.landing(pages, landings.STATIC), landings.landing(pages, landings.RENDERED)
+    third = F.col("company_ord") % 3
+    parts = [
+        rendered.where(third == 0).unionByName(static.where(third == 1)),
+        static.where(third == 2).unionByName(rendered.where(third == 2)),
+        static.where(third == 0).unionByName(rendered.where(third == 1)),
+    ]
+
+    def run(stream, state, checkpoint, out):
+        def sink(postings, batch_id):
+            postings.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+        return landings.run_landings(stream, catalog, state, checkpoint, sink, FALLBACK_RULES)
+
+    out = _land(spark, parts, run)
+    return spark.read.parquet(out).select("company_ord", "source_type", "posting_ord", "title", "url")
+
+
+@query
+def stream_landings(spark, sf_dir):
+    """Responses, then rendered pages, then static pages, each reported as it lands; all that was
+    reported in the end."""
+    catalog, payloads, pages, chosen = _everything(spark, sf_dir)
+    parts = [
+        landings.landing(payloads, landings.PAYLOAD), landings.landing(pages, landings.RENDERED),
+        landings.landing(pages, landings.STATIC),
+    ]
+
+    def run(stream, state, checkpoint, out):
+        return landings.report_landings(stream, catalog, out, state, checkpoint, chosen, run_ts=lambda batch_id: RUN_TS)
+
+    seen = seen_store.read_seen(spark, _land(spark, parts, run))
+    return seen.select("company_ord", "posting_ord", "company", "title", "url", "yoe_note")

@@ -40,8 +40,19 @@ PAGE = T.StructType([
     T.StructField("html", T.StringType()),
 ])
 
-# Everything ever reported, partitioned by run_id. The ordinals and the note are kept so that
-# the digest of any run can be rebuilt from the committed partition.
+# One row per response or page of any kind (payload, static, rendered), as it lands.
+LANDING = T.StructType([
+    T.StructField("run_id", T.LongType()),
+    T.StructField("company_ord", T.LongType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("source_type", T.StringType()),
+    T.StructField("page_offset", T.LongType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("body", T.StringType()),
+])
+
+# Everything ever reported. The ordinals and the note are kept so that
+# the digest of any run can be rebuilt from its committed rows.
 SEEN = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("company", T.StringType()),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +57,21 @@ def ensure_scratch(spark: SparkSession, path: str) -> None:
         spark.sparkContext.setCheckpointDir(path)
 
 
+_collecting: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("collecting", default=())
+
+
+@contextlib.contextmanager
+def settled_paths() -> Iterator[list[str]]:
+    """The folders that ``settle`` makes meanwhile, so that they can be removed once nothing reads
+    them any more."""
+    made: list[str] = []
+    token = _collecting.set((*_collecting.get(), made))
+    try:
+        yield made
+    finally:
+        _collecting.reset(token)
+
+
 def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
@@ -61,6 +79,8 @@ def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     executors, and its size is known to the planner and to ``fits_broadcast``.
     """
     path = shared_dir(df.sparkSession)
+    for made in _collecting.get():
+        made.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolefeed import rules, schemas
 from rolefeed.functions.urls import resolve_type, route
+from rolefeed.sources.adapters import Adapter
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -25,9 +28,10 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return reader.json(path) if path.endswith((".json", ".jsonl")) else reader.parquet(path)
 
 
-def routed(catalog: DataFrame) -> DataFrame:
-    """Add ``source_type``: the platform whose normaliser applies, or generic."""
-    return catalog.withColumn("source_type", route(resolve_type(F.col("type"), F.col("url"))))
+def routed(catalog: DataFrame, adapters: Sequence[Adapter] = ()) -> DataFrame:
+    """Add ``source_type``: the platform or adapter that applies, or generic."""
+    own = [(a.fragment, a.name) for a in adapters]
+    return catalog.withColumn("source_type", route(resolve_type(F.col("type"), F.col("url"), own), own))
 
 
 def lookup(catalog: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ read; each is VARIANT, which keeps a missing field, a null and a value of the wr
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +29,8 @@ class Field:
     required: bool = False  # must be present
     text: bool = True  # must be a string, when present and not null
     nullable: bool = True  # may be null
+    optional: bool = False  # an empty value of any type counts as missing
+    unless: str | None = None  # not read where this field has a value
 
 
 @dataclass(frozen=True)
@@ -45,10 +47,14 @@ class Platform:
     description: Callable[[], Column]
 
 
-def _value(name: str) -> Column:
+def value_of(name: str) -> Column:
+    """The value of a field of a layout."""
     return F.col(f"f_{name}")
 
 
+_value = value_of
+
+
 def _no_text() -> Column:
     return F.lit(None).cast("string")
 
@@ -66,7 +72,7 @@ PLATFORMS = {
         fields=(
             Field("title", required=True, nullable=False),
             Field("absolute_url", required=True, text=False),
-            Field("content"),
+            Field("content", optional=True),
         ),
         title=lambda: _value("title"),
         url=lambda: _value("absolute_url"),
@@ -77,8 +83,8 @@ PLATFORMS = {
         fields=(
             Field("text", required=True, nullable=False),
             Field("hostedUrl", required=True, text=False),
-            Field("descriptionPlain"),
-            Field("description"),
+            Field("descriptionPlain", optional=True),
+            Field("description", optional=True, unless="descriptionPlain"),
         ),
         title=lambda: _value("text"),
         url=lambda: _value("hostedUrl"),
@@ -105,9 +111,9 @@ PLATFORMS = {
         items="jobs",
         fields=(
             Field("title", required=True, nullable=False),
-            Field("jobUrl", text=False),
+            Field("jobUrl", text=False, optional=True),
             Field("applyUrl", text=False),
-            Field("descriptionHtml"),
+            Field("descriptionHtml", optional=True),
         ),
         title=lambda: _value("title"),
         url=lambda: F.coalesce(falsy_to_null(_value("jobUrl")), _value("applyUrl")),
@@ -117,7 +123,7 @@ PLATFORMS = {
     ),
     "workday": Platform(
         items="jobPostings",
-        fields=(Field("title", nullable=False), Field("externalPath", text=False)),
+        fields=(Field("title", nullable=False), Field("externalPath", text=False, optional=True)),
         title=lambda: _value("title"),
         url=_workday_url,
         description=_no_text,
@@ -126,8 +132,8 @@ PLATFORMS = {
         items="jobs",
         fields=(
             Field("title", nullable=False),
-            Field("job_path", text=False),
-            Field("description_short"),
+            Field("job_path", text=False, optional=True),
+            Field("description_short", optional=True),
         ),
         title=lambda: _value("title"),
         url=lambda: host_path(
@@ -138,14 +144,59 @@ PLATFORMS = {
 }
 
 
-def records(payloads: DataFrame, source_type: str) -> DataFrame:
+# How values that count as empty are written.
+_EMPTY = ("null", "false", "0", "-0", "0.0", "-0.0", "[]", "{}")
+
+
+def _is_empty(raw: Column) -> Column:
+    """Whether a value is null, false, zero, or a string, list or object without content. NULL if it
+    is missing."""
+    text = F.try_variant_get(raw, "$", "string")
+    return F.when(F.schema_of_variant(raw) == "STRING", text == "").otherwise(F.to_json(raw).isin(*_EMPTY))
+
+
+def _float_text(number: Column) -> Column:
+    """A double in its shortest form, with an exponent only beyond 16 digits or below 0.0001."""
+    java = number.cast("string")
+    mantissa, power = F.regexp_extract(java, "^(.*)E", 1), F.regexp_extract(java, "E(.*)$", 1).try_cast("int")
+    plain = F.rtrim(java.try_cast("decimal(38,20)").cast("string"), F.lit("0"))
+    plain = F.concat(plain, F.when(plain.endswith("."), "0").otherwise(""))
+    sign = F.when(power < 0, "-").otherwise("+")
+    short = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(power.isNull(), java).when(power.between(-4, 15), plain).otherwise(
+        F.when(F.abs(power) > 99, F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e"), sign, F.abs(power).cast("string"))).otherwise(short)
+    )
+
+
+def _written(raw: Column) -> Column:
+    """A value as it is written inside an address: booleans with a capital letter, numbers with a
+    point or an exponent as the shortest decimal that has a point."""
+    kind, text = F.schema_of_variant(raw), F.try_variant_get(raw, "$", "string")
+    # Whole numbers beyond BIGINT are decimals too.
+    fraction = kind.rlike("^(DECIMAL|DOUBLE|FLOAT)") & ~kind.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$")
+    return (
+        F.when(kind == "BOOLEAN", F.initcap(text))
+        .when(fraction, _float_text(F.try_variant_get(raw, "$", "double")))
+        .otherwise(text)
+    )
+
+
+def _field_value(f: Field) -> Column:
+    raw = F.col(f"r.{f.name}")
+    if not f.text:
+        return F.when(~_is_empty(raw), _written(raw)) if f.optional else _written(raw)
+    # A text that is no string is unusable or empty; an empty string is told by who reads it.
+    return F.when(F.schema_of_variant(raw) == "STRING", F.try_variant_get(raw, "$", "string"))
+
+
+def records(payloads: DataFrame, source_type: str, layout: Platform | None = None) -> DataFrame:
     """One row per record of one platform's responses: the payload columns, ``posting_ord``,
     ``bad`` (why the record cannot be used, else NULL) and one ``f_<name>`` per field.
 
     An unreadable response gives one bad row without a ``posting_ord``. ``payloads`` carries
     ``catalog_url`` (see ``with_catalog``).
     """
-    layout = PLATFORMS[source_type]
+    layout = layout or PLATFORMS[source_type]
     fields = ", ".join(f"{f.name} variant" for f in layout.fields)
     records_type = f"array<struct<{fields}>>"
     response_type = f"struct<{layout.items} {records_type}>" if layout.items else records_type
@@ -175,8 +226,12 @@ def records(payloads: DataFrame, source_type: str) -> DataFrame:
             problem = problem.when(null, f"{WRONG_TYPE}: {f.name}")
         if f.text:
             wrong = raw.isNotNull() & ~null & (F.schema_of_variant(raw) != "STRING")
+            if f.optional:
+                wrong = wrong & ~_is_empty(raw)
+            if f.unless:
+                wrong = wrong & F.coalesce(_is_empty(F.col(f"r.{f.unless}")), F.lit(True))
             problem = problem.when(wrong, f"{WRONG_TYPE}: {f.name}")
-    values = [F.try_variant_get(f"r.{f.name}", "$", "string").alias(f"f_{f.name}") for f in layout.fields]
+    values = [_field_value(f).alias(f"f_{f.name}") for f in layout.fields]
     position = (F.col("page_offset") + F.col("pos")).cast("bigint")
     return exploded.select(
         *carried, F.when(~F.col("unreadable"), position).alias("posting_ord"),
@@ -184,11 +239,11 @@ def records(payloads: DataFrame, source_type: str) -> DataFrame:
     )
 
 
-def normalise(payloads: DataFrame, source_type: str) -> DataFrame:
+def normalise(payloads: DataFrame, source_type: str, layout: Platform | None = None) -> DataFrame:
     """Postings of one platform: the payload columns, ``posting_ord``, ``bad``, ``title``, ``url``
     and ``description``. A Workday company whose catalog address does not parse gives none."""
-    layout = PLATFORMS[source_type]
-    rows = records(payloads, source_type)
+    layout = layout or PLATFORMS[source_type]
+    rows = records(payloads, source_type, layout)
     if source_type == "workday":
         rows = rows.where(workday_board(F.col("catalog_url"))[0].isNotNull())
     made = [c for c in rows.columns if not c.startswith("f_")]
@@ -222,10 +277,12 @@ def with_catalog(payloads: DataFrame, catalog: DataFrame) -> DataFrame:
     return payloads.join(companies, ["company_ord", "source_type"])
 
 
-def normalise_all(payloads: DataFrame) -> DataFrame:
-    """Postings of every platform. Landed responses are partitioned by ``source_type``, so each
-    branch scans only its own."""
-    first, *rest = (normalise(payloads, name) for name in PLATFORMS)
+def normalise_all(payloads: DataFrame, more: Mapping[str, Platform] | None = None) -> DataFrame:
+    """Postings of every platform, and of ``more`` layouts by name, which come before the library's
+    own of that name. Landed responses are partitioned by ``source_type``, so each branch scans only
+    its own."""
+    layouts = {**PLATFORMS, **(more or {})}
+    first, *rest = (normalise(payloads, name, layout) for name, layout in layouts.items())
     for other in rest:
         first = first.unionByName(other, allowMissingColumns=True)
     return first

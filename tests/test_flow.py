@@ -251,3 +251,71 @@ def test_shared_dir_needs_a_setting_on_a_cluster(spark):
         shared_dir(Session(spark_master="yarn"))
     assert shared_dir(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://x/y")).startswith("hdfs://x/y/")
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_a_seventh_platform(spark):
+    from pyspark.sql import functions as F
+
+    from rolefeed.sources.adapters import Adapter
+    from rolefeed.sources.payloads import Field, Platform, value_of
+
+    def fetch(company, url):
+        if company == "Down":
+            raise TimeoutError
+        if company == "Odd":
+            return [{"title": 5, "url": "u"}]
+        return ({"title": "SWE", "url": f"{url}{n}", "description": f"{n} yrs experience"} for n in range(3))
+
+    own = Adapter("board", "board.example/", Platform(
+        "roles", (Field("name", required=True, nullable=False), Field("link")),
+        lambda: value_of("name"), lambda: value_of("link"), lambda: F.lit(None).cast("string")))
+    called = Adapter("called", "greenhouse.io/called/", fetch=fetch)
+    catalog = spark.createDataFrame([
+        (0, "Own", "https://board.example/x", None), (1, "Typed", "https://x.example/", "board"), (2, "Called", "https://greenhouse.io/called/c", None),
+        (3, "Down", "https://x.example/", "called"), (4, "Odd", "https://x.example/", "called"), (5, "Other", "https://boards.greenhouse.io/o", None),
+    ], schemas.CATALOG)
+    payloads = spark.createDataFrame([
+        (0, "board", 0, '{"roles":[{"name":"SWE","link":"b/1"},{"name":"Clerk","link":"b/2"}]}'), (1, "board", 0, '{"roles":[{"link":"b/3"}]}'),
+        (5, "greenhouse", 0, '{"jobs":[{"title":"SWE","absolute_url":"g/1"}]}'),
+    ], schemas.PAYLOAD)
+    pages = spark.createDataFrame([], schemas.PAGE)
+    outcome = run(catalog, payloads, pages, pages, shared_dir(spark), 0, NOW, adapters=(own, called))
+    assert titles(outcome.new) == [(0, "SWE", "b/1"), (2, "SWE", "https://greenhouse.io/called/c0"),
+                                   (2, "SWE", "https://greenhouse.io/called/c1"), (5, "SWE", "g/1")]
+    assert {(r.company_ord, r.reason) for r in outcome.quarantined.collect()} == {
+        (1, "missing field: name"), (3, "adapter failed: TimeoutError"), (4, "unusable value: title")}
+    assert {r.company_ord: r.dropped for r in outcome.companies.collect()}[2] == 1
+
+
+def test_fetch_rounds(spark):
+    """A listing whose total grows, one that ends early, one that is silent; every page once."""
+    from rolefeed.sources.fetch_plan import fetch_rounds
+
+    catalog = spark.createDataFrame([
+        (0, "https://a.wd1.myworkdayjobs.com/S", "workday", None), (1, "u", "amazon", None), (2, "u", "lever", None),
+        (3, "https://b.wd1.myworkdayjobs.com/S", "workday", None), (4, "https://c.wd1.myworkdayjobs.com/S", "workday", None),
+        (5, "https://nowhere.example.com", "workday", None),
+    ], "company_ord long, url string, source_type string, total long")
+    # Total reported on a page, and whether it holds postings.
+    site = {
+        (0, 0): (25, 1), (0, 20): (65, 1), (0, 40): (65, 1), (0, 60): (65, 1), (1, 0): (250, 1), (1, 100): (250, 0), (1, 200): (900, 1),
+        (2, 0): (0, 1), (3, 0): (0, 0),
+    }
+    asked = []
+
+    def fetch(todo):
+        rows = [(r.company_ord, r.source_type, r.page_offset) for r in todo.collect()]
+        asked.append(sorted((c, o) for c, _, o in rows))
+        landed = []
+        for company, kind, offset in rows:
+            if (company, offset) in site:
+                total, full = site[company, offset]
+                names = ("total", "jobPostings") if kind == "workday" else ("hits", "jobs")
+                landed.append((company, kind, offset, json.dumps({names[0]: total, names[1]: [{"title": "t"}] * full})))
+        return spark.createDataFrame(landed, schemas.PAYLOAD)
+
+    requests, landed = fetch_rounds(catalog, fetch)
+    assert asked == [[(0, 0), (1, 0), (2, 0), (3, 0), (4, 0)], [(0, 20), (1, 100), (1, 200)], [(0, 40), (0, 60)]]
+    assert requests.count() == 10 and landed.count() == 9 and requests.where("round = 2").count() == 2
+    none, nothing = fetch_rounds(catalog.limit(0), fetch)
+    assert none.count() == 0 and none.columns == requests.columns and nothing.count() == 0

@@ -170,3 +170,35 @@ def test_card_title(spark):
             (None, "text", "", "text"), (None, "text", "longer label", "longer label"), ("Heading", "t", "label", "Heading")]
     make = lambda: card_title(F.col("h"), F.col("t"), F.col("a"))
     assert apply(spark, [r[:3] for r in rows], make, "h string, t string, a string") == [r[3] for r in rows]
+
+
+def test_resolved_like_urljoin(spark):
+    """Ten thousand random pairs, and every base with every form."""
+    import random
+    from urllib.parse import urljoin
+
+    from rolefeed.functions.resolve import resolved
+
+    rng = random.Random(8)
+    parts = ["/", "/", "//", ".", "..", "a", "b.html", "?", "q=1", "#", "f", ":", ";", "p=2", "@", "%20", "é", " ", "\t", "\n", "\x01", "[", "]",
+             "[::1]", "host.example", "https:", "http://", "HTTP:", "mailto:", "javascript:", "-", "+", "1", "\u2100", "\uff1a", "ws:", "file:", "data:,"]
+    bases = ["https://x.example.com/a/b/c", "http://x.example.com", "https://x.example.com/a/b/?q=1#f", "http://h/a;p=1?q", "", None,
+             "file:///a/b", "mailto:x@y", "//h/a/b", "a/b", "/a/b/", "https:", "https://u:p@[::1]:8/x", "http://[bad/x", "ws://h/a;b/c;d", "?q", "https://h/.."]
+    pairs = [("".join(rng.choices(parts, k=rng.randint(0, 6))) if rng.random() < 0.3 else rng.choice(bases),
+              "".join(rng.choices(parts, k=rng.randint(0, 9)))) for _ in range(10000)]
+    forms = ["", ".", "..", "./", "../", "../..", "../../g", "g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", ";x", "g;x", "g;x?y#s", "g;", "g?", "g#",
+             "/./g", "/../g", "g.", ".g", "..g", "./../g", "./g/.", "g/./h", "g/../h", "g;x=1/./y", "g;x=1/../y", "http:g", "https:g", "a//b", "//", "///x", " x"]
+    pairs += [(b, f) for b in bases for f in forms]
+
+    def expected(base, address):
+        try:
+            return urljoin(base or "", address)
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, base string, address string")
+    got = {r.i: r.resolved for r in df.select("i", resolved(F.col("base"), F.col("address")).alias("resolved")).collect()}
+    wrong = [(b, a, got[i], expected(b, a)) for i, (b, a) in enumerate(pairs) if got[i] != expected(b, a)]
+    assert not wrong, (len(wrong), wrong[:10])
+    assert sum(v is None for v in got.values()) > 100
+    assert spark.sql("select 1").select(resolved(F.lit("https://h/"), F.lit(None).cast("string"))).first()[0] is None

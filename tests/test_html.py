@@ -4,8 +4,9 @@ import random
 import time
 from html.parser import HTMLParser
 
-from rolefeed.functions.html import PageReader, card_rows, link_rows
-from rolefeed.sources.pages import job_cards, keyword_links, page_cards, page_links
+from rolefeed.functions.html import PageReader, card_rows, link_rows, tree_rows
+from rolefeed.operators.fallback import generic_postings
+from rolefeed.sources.pages import card_tree, job_cards, keyword_links, page_cards, page_links
 
 BASE = "https://x.example.com/careers/"
 
@@ -36,11 +37,17 @@ def test_nested_and_unclosed():
 
 def test_unresolvable_address():
     assert links('<a href="http://[bad">x</a>')[0][1] is None
-    assert list(card_rows(BASE, '<a href="/ok">x</a><a href="http://[bad">x</a>', False)) == []
+    assert list(card_rows(BASE, '<a href="/ok">x</a><a href="http://[bad">x</a>')) == []
+    assert list(tree_rows(BASE, '<a href="/ok">x</a><a href="http://[bad">x</a>')) == []
 
 
 def cards(html, context=True):
-    return [row[1:] for row in card_rows(BASE, html, context)]
+    if not context:
+        return [row[1:] for row in card_rows(BASE, html)]
+    rows = list(tree_rows(BASE, html))
+    chunks = {r[9]: r[10] for r in rows if r[0] is None}
+    assert len(chunks) == sum(r[0] is None for r in rows)
+    return [(*r[1:6], " ".join(chunks[i] for i in range(r[7], r[8]))) for r in rows if r[0] is not None]
 
 
 def test_cards():
@@ -199,3 +206,57 @@ def test_many_links_with_context(spark):
     html = "<body>" + "".join(f'<a href="/job/{i}">Job number {i}</a>' for i in range(1500)) + "</body>"
     pages = spark.createDataFrame([(1, BASE, html)], "page_id long, url string, html string")
     assert page_cards(pages, context=True).where("length(context_text) > 10000").count() == 1500
+
+
+SCHEMA = "page_id long, url string, html string"
+
+
+def test_context_is_linear_in_the_page(spark):
+    """A page of 4,000 sibling links, and one whose links stand in nested parents."""
+    html = "<ul>" + "".join(f'<a href="/job/{i}">Job number {i}</a>' for i in range(4000)) + "</ul>"
+    rows = list(tree_rows(BASE, html))
+    assert sum(len(v) for r in rows for v in r if isinstance(v, str)) < 4 * len(html)
+    pages = spark.createDataFrame([(1, BASE, html)], SCHEMA)
+    tree = card_tree(pages)
+    assert tree.cards.count() == 4000 and tree.chunks.count() == 4000
+    (around,) = tree.contexts(tree.cards).collect()
+    assert around.context_text == " ".join(f"Job number {i}" for i in range(4000))
+    # Only accepted cards get a context.
+    some = job_cards(pages, fragments=("/job/39",), context=True)
+    assert some.count() == 111 and some.where("length(context_text) < 60000").count() == 0
+
+
+def test_context_of_nested_parents_and_odd_pages(spark):
+    html = (
+        '<div>Pune <ul><li><a href="/job/1"><h3>Data Dev</h3>apply</a> now</li><li><a href="/job/2">Second one</a></li></ul>'
+        '<a href="/job/3">Third one</a></div><p><a href="/job/4" aria-label="A fourth job"><img></a></p>'
+    )
+    pages = spark.createDataFrame([(1, BASE, html), (None, BASE, html), (2, BASE, None), (3, BASE, "<p>none</p>"), (4, None, '<a href="/job/9">No base</a>')], SCHEMA)
+    expected = {
+        "/job/1": ("Data Dev", "Data Dev apply now"), "/job/2": ("Second one", "Second one"),
+        "/job/3": ("Third one", "Pune Data Dev apply now Second one Third one"), "/job/4": ("A fourth job", ""),
+    }
+    got = page_cards(pages, context=True).collect()
+    for page in (1, None):
+        assert {r.href: (r.title, r.context_text) for r in got if r.page_id == page} == expected
+    assert [(r.title, r.context_text) for r in got if r.page_id == 4] == [("No base", "No base")] and len(got) == 9
+    assert page_cards(pages.limit(0), context=True).count() == 0
+
+
+def test_several_pages_of_a_company(spark):
+    """Every posting has a number of its own; equal pages count once."""
+    pages = spark.createDataFrame([
+        (5, "C", BASE + "b", '<a href="/swe/1">One</a><a href="/swe/2">Two</a>'), (5, "C", BASE + "a", '<a href="/swe/3">Three</a>'),
+        (5, "C", BASE + "a", '<a href="/swe/3">Three</a>'), (5, "C", BASE + "a", '<a href="/swe/4">Four</a>'),
+        (6, "D", BASE, '<a href="/swe/1">One</a>'), (7, "E", BASE, "<p>"),
+    ], "company_ord long, company string, url string, html string")
+    shown = spark.createDataFrame([(7, "E", BASE + u, f'<a href="/jobs/{u}">Role at {u}</a>') for u in "xy"],
+                                  "company_ord long, company string, url string, html string")
+    rows = generic_postings(pages, shown).collect()
+    places = [(r.company_ord, r.posting_ord) for r in rows]
+    assert len(places) == len(set(places)) == 7
+    assert sorted(r.title for r in rows if r.company_ord == 5) == ["Four", "One", "Three", "Two"]
+    order = [r.title for r in sorted(rows, key=lambda r: (r.company_ord, r.posting_ord))]
+    assert order[2:] == ["One", "Two", "One", "Role at x", "Role at y"]
+    # One page a company is numbered as before.
+    assert sorted(r.posting_ord for r in generic_postings(pages.where("company_ord > 5"), None).collect()) == [0]

@@ -41,6 +41,41 @@ def test_one_bad_record_fails_its_company_only(spark, body):
     assert sum(r.title == "ok" for r in usable(rows, "row").collect()) == 2
 
 
+@pytest.mark.parametrize("empty", [False, 0, 0.0, [], {}, "", None])
+def test_empty_values_of_any_type_are_missing(spark, empty):
+    assert good(spark, [(1, 0, {"jobs": [{"title": "a", "absolute_url": "u", "content": empty}]})], "greenhouse") == [(1, 0, "a", "u", "")]
+    jobs = [{"text": "a", "hostedUrl": "u", "descriptionPlain": empty, "description": "<b>x</b>"},
+            {"text": "b", "hostedUrl": "u", "descriptionPlain": empty, "description": empty},
+            {"text": "c", "hostedUrl": "u", "descriptionPlain": "p", "description": 7}]
+    assert [r[4] for r in good(spark, [(1, 0, jobs)], "lever")] == ["x", "", "p"]
+    jobs = {"jobs": [{"title": "a", "jobUrl": empty, "applyUrl": "v", "descriptionHtml": empty}]}
+    assert good(spark, [(1, 0, jobs)], "ashby") == [(1, 0, "a", "v", None)]
+    url = "https://acme.wd3.myworkdayjobs.com/Jobs"
+    assert good(spark, [(1, 0, {"jobPostings": [{"title": "a", "externalPath": empty}]})], "workday", url) == [(1, 0, "a", url, None)]
+    jobs = {"jobs": [{"title": "a", "job_path": empty, "description_short": empty}]}
+    assert good(spark, [(1, 0, jobs)], "amazon", "cat") == [(1, 0, "a", "cat", None)]
+
+
+@pytest.mark.parametrize("value", [True, 1, 2.5, ["x"], {"a": 1}])
+def test_other_values_in_place_of_a_text_are_bad(spark, value):
+    fine = {"jobs": [{"title": "ok", "absolute_url": "u"}]}
+    rows = normalise(landed(spark, [(1, 0, {"jobs": [{"title": "a", "absolute_url": "u", "content": value}]}), (2, 0, fine)]), "greenhouse")
+    assert [r.company_ord for r in usable(rows).collect()] == [2]
+    assert [r.bad for r in quarantined(rows).collect()] == ["unusable value: content"]
+    lever = [{"text": "a", "hostedUrl": "u", "descriptionPlain": "", "description": value}]
+    assert good(spark, [(1, 0, lever)], "lever") == []
+    # An empty title of another type has no letters to look for keywords in.
+    assert good(spark, [(1, 0, {"jobs": [{"title": False, "absolute_url": "u"}]})], "greenhouse") == []
+
+
+@pytest.mark.parametrize("number", ["1", "1.0", "1.50", "true", "false", "0", "0.0", "1e3", "1e16", "12345678.5", "1e-5", "0.0001", "123456789012345678",
+                                    "12345678901234567890", "1.5e300", "123456789.0", "1e15", "3.14e-7", "1e-320", '"x"'])
+def test_ids_are_written_as_numbers_are(spark, number):
+    body = '{"content":[{"id":%s,"name":"A"}]}' % number
+    ((_, _, _, url, _),) = good(spark, [(1, 0, body)], "smartrecruiters", "https://jobs.smartrecruiters.com/Acme")
+    assert url == f"https://jobs.smartrecruiters.com/Acme/{json.loads(number)}"
+
+
 def test_unknown_failure_policy(spark):
     with pytest.raises(ValueError):
         usable(normalise(landed(spark, []), "greenhouse"), "page")
