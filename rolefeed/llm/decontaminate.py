@@ -14,11 +14,13 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rolefeed.llm import words as W
-from rolefeed.llm.rows import add_columns, fresh
+from rolefeed.llm.rows import add_columns, give_back
 
 WINDOW = 10
 SLICE_BYTES = 1 << 20
@@ -174,11 +176,19 @@ def _cut(text: str, parts: list[Windows], hits: set[int] | None) -> str:
 
 
 def _cut_all(texts: pa.Array, parts: list[Windows]) -> list[pa.Array]:
-    kept = texts.to_pylist()
+    give_back()
+    changed: dict[int, str] = {}
     for block in W.hashed_words(texts, W.ALPHANUMERIC):
         for i, places in _hits(block, parts).items():
-            kept[block.first + i] = _cut(kept[block.first + i], parts, places)
-    return [pa.array(kept, pa.string())]
+            row = block.first + i
+            changed[row] = _cut(texts[row].as_py(), parts, places)
+    if not changed:
+        return [texts]
+    # Texts that stay are not copied into Python objects; the new ones are put in their places.
+    rows = np.array(sorted(changed))
+    mask = np.zeros(len(texts), dtype=bool)
+    mask[rows] = True
+    return [pc.replace_with_mask(texts, pa.array(mask), pa.array([changed[i] for i in rows.tolist()], texts.type))]
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text",
@@ -190,9 +200,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: s
     the number of slices does not change the result.
     """
     parts = item_windows(benchmark, n, **options)
-    name = fresh("text")
-    cut = add_columns(docs, [docs[text]], f"{name} string", lambda a: _cut_all(a[0], [p.value for p in parts]))
-    return cut.select(*[cut[name].alias(text) if c == text else cut[c] for c in docs.columns])
+    # The new text takes the place of the old one, which so travels to Python once and not back.
+    schema = StructType([StructField(text, StringType())])
+    cut = add_columns(docs, [docs[text].cast("string")], schema, lambda a: _cut_all(a[0], [p.value for p in parts]))
+    return cut.select(*docs.columns)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, **options) -> DataFrame:

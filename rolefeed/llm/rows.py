@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable
 
@@ -27,6 +29,14 @@ def digest_of(*columns: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("|", *lengths, *parts)))
 
 
+def give_back() -> None:
+    """Return memory that is free to the system. Python workers live on between stages, and what an
+    earlier stage took would count beside what this one needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def add_columns(
     df: DataFrame, inputs: list[Column], schema: str | StructType,
     function: Callable[[list[pa.Array]], list[pa.Array]], rows: int = 2048,
