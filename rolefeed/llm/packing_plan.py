@@ -1,12 +1,18 @@
 """Which lengths go together: the configuration linear program of bin packing.
 
 Works on the histogram of lengths alone, which has at most ``capacity`` entries however many
-pieces there are. Neighbouring lengths form classes, each as long as its longest. A configuration
-is a multiset of classes that fits one sequence; the program covers every class's count with as
-few configurations as possible. It is solved by multiplicative weights: a class's weight falls as
-it gets covered, and the configuration of largest weight is found by knapsack dynamic programming.
-The solution is rounded down to whole copies. What is left, and the room that classes waste, is
-used best-fit.
+pieces there are. The program is about the long pieces; short ones fill the rooms that are left.
+Neighbouring long lengths form classes, each as long as its longest. A configuration is a multiset
+of classes that fits one sequence; the program covers every class's count with as few
+configurations as possible. It is solved by multiplicative weights: a class's weight falls as it
+gets covered, and the configuration of largest weight is found by knapsack dynamic programming. The
+weights of every step, divided by that configuration's, are a solution of the dual program, so its
+value is a lower bound; passes are averaged until the cover is within ``GAP`` of the best one.
+
+The solution is rounded down to whole copies of configurations with real lengths. What is left, and
+the short pieces, go best-fit into the rooms. Where that does not fill them, classes were too coarse
+for the lengths at hand: then sequences with more than a certain room are taken apart again, and
+their pieces go best-fit with the rest. Of these plans the one of fewest sequences holds.
 """
 
 from __future__ import annotations
@@ -17,9 +23,14 @@ from typing import NamedTuple
 import numpy as np
 
 CLASSES = 128
+SHORT = 16  # pieces up to this part of the capacity are short
 EPSILON = 0.25
-# Share of the solution that is used as it is. The rest leaves pieces for the rooms.
-USED = 0.5
+STEEPNESS = 3.0
+GAP = 0.01
+STEPS = 1200  # no new pass begins after so many
+# Parts of the capacity that a rounded sequence may leave free, tried until a plan needs no more
+# sequences than any must.
+ROOMS = (1, 1 / 64, 1 / 256, 1 / 1024, 0)
 
 
 class Filling(NamedTuple):
@@ -56,30 +67,50 @@ def best_configuration(lengths: np.ndarray, values: np.ndarray, limits: np.ndarr
     return dict(chosen)
 
 
-def fractional_cover(lengths: np.ndarray, counts: np.ndarray, capacity: int,
-                     epsilon: float = EPSILON) -> list[tuple[float, dict[int, int]]]:
-    """Configurations and how often each is used; together they cover ``counts`` exactly.
+class Cover(NamedTuple):
+    """A fractional solution: configurations (class, how many) and how often each is used."""
+
+    uses: dict[tuple[tuple[int, int], ...], float]
+    value: float  # sequences it needs
+    bound: float  # that any solution needs
+
+
+def fractional_cover(lengths: np.ndarray, counts: np.ndarray, capacity: int, epsilon: float = EPSILON,
+                     gap: float = GAP, steps: int = STEPS) -> Cover:
+    """Configurations that together cover ``counts`` exactly.
 
     Each step takes the configuration of largest weight and uses it until one of its classes has
-    ``epsilon`` of its count more. A class's weight is its length, times ``exp(-share)`` for the
-    share of its count that is covered. Each step covers that share of one class at least, so
-    there are at most ``len(lengths) * (1 + 1 / epsilon)`` steps.
+    ``epsilon`` of its count more. A class's weight is its length, times ``exp`` of minus
+    ``STEEPNESS`` for the share of its count that is covered, this pass and the ones before. A pass
+    has at most ``len(lengths) * (1 + 1 / epsilon)`` steps.
     """
-    covered = np.zeros(len(lengths))
-    out: list[tuple[float, dict[int, int]]] = []
-    while True:
-        left = counts - covered
-        open_ = np.flatnonzero(left > 1e-6)
-        if not len(open_):
-            return out
-        share = covered[open_] / counts[open_]
-        values = lengths[open_] / capacity * np.exp(share.min() - share)
-        one = best_configuration(lengths[open_], values, np.ceil(left[open_]), capacity)
-        chosen = {int(open_[i]): k for i, k in one.items()}
-        use = min(min(max(counts[i] * epsilon, 1e-3), left[i]) / k for i, k in chosen.items())
-        for i, k in chosen.items():
-            covered[i] += use * k
-        out.append((use, chosen))
+    uses: Counter = Counter()
+    before, value, bound = np.zeros(len(lengths)), 0.0, 0.0
+    done = step = 0
+    while step < steps:
+        covered = np.zeros(len(lengths))
+        while True:
+            left = counts - covered
+            open_ = np.flatnonzero(left > 1e-6)
+            if not len(open_):
+                break
+            share = (before + covered)[open_] / counts[open_]
+            weights = lengths[open_] / capacity * np.exp(STEEPNESS * (share.min() - share))
+            one = best_configuration(lengths[open_], weights, np.ceil(counts[open_]), capacity)
+            # Weights scaled so that no configuration is worth more than one: a dual solution.
+            bound = max(bound, float((counts[open_] * weights).sum() / sum(weights[i] * k for i, k in one.items())))
+            chosen = {int(open_[i]): k for i, k in one.items()}
+            use = min(min(max(counts[i] * epsilon, 1e-3), left[i]) / k for i, k in chosen.items())
+            for i, k in chosen.items():
+                covered[i] += use * k
+            uses[tuple(sorted(chosen.items()))] += use
+            step += 1
+        before += covered
+        done += 1
+        value = sum(uses.values()) / done
+        if value <= (1 + gap) * bound:
+            break
+    return Cover({key: use / done for key, use in uses.items()}, value, bound)
 
 
 def _classes(histogram: dict[int, int], most: int) -> list[list[int]]:
@@ -110,17 +141,13 @@ def _take(pool: list[list[int]], k: int, copies: int) -> tuple[int, Counter]:
     return 1, mixed
 
 
-def _rounded(parts, classes: list[list[int]], left: dict[int, int], capacity: int) -> dict[tuple[int, tuple], int]:
-    """Whole copies of the configurations, with lengths of their classes; takes them from
-    ``left``. (room, items) -> number of sequences."""
-    uses: dict[tuple, float] = {}
-    for use, chosen in parts:
-        key = tuple(sorted(chosen.items()))
-        uses[key] = uses.get(key, 0.0) + use
+def _rounded(cover: Cover, classes: list[list[int]], left: dict[int, int], capacity: int) -> dict[tuple[int, tuple], int]:
+    """Whole copies of the configurations, with lengths of their classes; takes them from ``left``.
+    (room, items) -> number of sequences."""
     pools = [[[size, left[size]] for size in sizes] for sizes in classes]
     bins: dict[tuple[int, tuple], int] = {}
-    for key, use in sorted(uses.items(), key=lambda x: -x[1]):
-        wanted = int(use * USED + 1e-9)
+    for key, use in sorted(cover.uses.items(), key=lambda x: (-x[1], x[0])):
+        wanted = int(use + 1e-9)
         wanted = min([wanted, *(sum(n for _, n in pools[c]) // k for c, k in key)])
         while wanted:
             taken = [_take(pools[c], k, wanted) for c, k in key]
@@ -184,12 +211,29 @@ def _best_fit(bins: dict[tuple[int, tuple], int], left: dict[int, int], capacity
 
 def plan(histogram: dict[int, int], capacity: int, classes: int = CLASSES) -> list[Filling]:
     """Sequences for all pieces of a histogram (length -> count, lengths from 1 to ``capacity``)."""
-    left = {int(k): int(v) for k, v in histogram.items() if v}
-    if not left:
+    counts = {int(k): int(v) for k, v in histogram.items() if v}
+    if not counts:
         return []
-    groups = _classes(left, classes)
-    lengths = np.array([g[-1] for g in groups], dtype=np.int64)
-    counts = np.array([sum(left[s] for s in g) for g in groups], dtype=np.float64)
-    bins = _rounded(fractional_cover(lengths, counts, capacity), groups, left, capacity)
-    done = _best_fit(bins, {k: v for k, v in left.items() if v}, capacity)
-    return [Filling(copies, items) for (_, items), copies in sorted(done.items())]
+    groups = _classes({k: n for k, n in counts.items() if k > capacity // SHORT}, classes)
+    cover = fractional_cover(
+        np.array([g[-1] for g in groups], dtype=np.int64),
+        np.array([sum(counts[s] for s in g) for g in groups], dtype=np.float64), capacity,
+    )
+    volume = -(-sum(k * n for k, n in counts.items()) // capacity)
+    least = max(volume, int(np.ceil(cover.bound - 1e-6)))
+    left = dict(counts)
+    rounded = _rounded(cover, groups, left, capacity)
+    best: dict[tuple[int, tuple], int] = {}
+    for part in ROOMS:
+        bins, rest = {}, Counter(left)
+        for (room, items), copies in rounded.items():
+            if room <= part * capacity:
+                bins[room, items] = copies
+            else:
+                rest.update({length: k * copies for length, k in items})
+        done = _best_fit(bins, {k: v for k, v in rest.items() if v}, capacity)
+        if not best or sum(done.values()) < sum(best.values()):
+            best = done
+        if sum(best.values()) <= least:
+            break
+    return [Filling(copies, items) for (_, items), copies in sorted(best.items())]
