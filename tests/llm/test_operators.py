@@ -214,15 +214,39 @@ def test_contamination(spark, slice_bytes):
     assert decontaminate.contamination_report(source, table.limit(0)).where("contaminated").count() == 0
 
 
-@pytest.mark.parametrize("slice_bytes", [1 << 20, 12])
-def test_spans_that_form_by_cutting(spark, slice_bytes):
-    items = [(i, f"x{i} y{i}") for i in range(14)]
-    nested = " ".join([*(f"x{i}" for i in reversed(range(14))), *(f"y{i}" for i in range(14))])
+@pytest.mark.parametrize("slice_bytes, depth", [(1 << 20, 14), (15, 4)])
+def test_spans_that_form_by_cutting(spark, slice_bytes, depth):
+    items = [(i, f"x{i} y{i}") for i in range(depth)]
+    nested = " ".join([*(f"x{i}" for i in reversed(range(depth))), *(f"y{i}" for i in range(depth))])
     table = spark.createDataFrame(items, "item_id long, text string")
     out = decontaminate.remove_spans(docs(spark, [(0, f"before {nested} after", "s")]), table, n=2, slice_bytes=slice_bytes)
     assert out.first().text.split() == ["before", "after"]
 
 
+def test_windows_are_small(spark):
+    """Arrays of a few times the text, whatever it repeats, and the same items by them as by brute force."""
+    import pickle
+
+    rng = random.Random(22)
+    passage = prose(rng, 30, 50)
+    items = [(str(i), prose(rng, 60, 5000) + (" " + passage if i % 3 == 0 else "")) for i in range(2000)]
+    windows = decontaminate.Windows(items, 10)
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(windows)) < 6 * size
+    texts = [passage, items[5][1], "x " + items[6][1][:200], prose(rng, 50)]
+    counts, hits, names = decontaminate._scan(pa.array(texts), windows)
+    for i, text in enumerate(texts):
+        n_words, n_hit, n_items, digest, _ = brute_hits(text, [x for x in items if int(x[0]) < 9 or int(x[0]) % 3 == 0][:60])
+        assert counts[i].as_py() == n_words and len(hits[i]) == n_hit
+    assert len(names[0]) == 667 and names[1].as_py() == ["5"] and names[3].as_py() == []
+    # Beyond what a worker remembers.
+    for at in range(0, 6000):
+        word = windows.by_length[10][1][at]
+        words = b" ".join(windows.text[s:e] for s, e in zip(windows.starts[word:word + 10], windows.ends[word:word + 10]))
+        assert str(windows.ids[windows.by_length[10][2][at]]) in windows.items(10, int(windows.by_length[10][0][at]), words)
+    assert len(windows._known) <= decontaminate.REMEMBERED
+
+
 # --- token counts ---------------------------------------------------------------------------
 
 
