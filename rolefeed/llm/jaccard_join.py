@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from rolefeed.llm import words as W
 from rolefeed.llm.components import components
-from rolefeed.llm.rows import add_columns, digest_of
+from rolefeed.llm.rows import add_columns, digest_of, give_back
 from rolefeed.session import broadcast_if_small, settle
 
 SHINGLE = 5
@@ -116,13 +116,14 @@ def token_levels(texts: DataFrame) -> np.ndarray:
     column ``text`` is counted; the result has one size whatever their number."""
 
     def count(batches):
+        give_back()
         seen = np.zeros(BUCKETS, dtype=np.uint32)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 for tokens in shingle_sets(batch.column(0).slice(low, 256)):
                     seen[_bucket(tokens)] += 1
         yield _chunks(seen)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -158,6 +159,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _sketch(texts: pa.Array, levels: np.ndarray) -> list[pa.Array]:
+    give_back()
     keys, sizes, familiar, prefixes, bands = [], [], [], [], []
     for tokens in shingle_sets(texts):
         n = len(tokens)
@@ -176,6 +178,7 @@ def _sketch(texts: pa.Array, levels: np.ndarray) -> list[pa.Array]:
 
 
 def _full(texts: pa.Array) -> list[pa.Array]:
+    give_back()
     keys, sets, short = [], [], []
     for tokens in shingle_sets(texts):
         keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolefeed.llm.rows import add_columns
+from rolefeed.llm.rows import add_columns, give_back
 
 TERMS = 2048
 DIMENSIONS = 48
@@ -169,6 +169,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
         scores = np.zeros(len(arrays[0]))
         for low, counts in _counts(arrays[0]):
             scores[low:low + len(counts)] = sent.value.score(counts)
+        give_back()
         return [pa.array(scores), pa.array((scores >= ACCEPT).astype(np.int32))]
 
     return add_columns(docs, [docs[text].cast("string")], "score double, predicted int", run)
