@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import unicodedata
 from collections.abc import Sequence
@@ -41,11 +42,18 @@ def _to_number(digits: Column) -> Column:
 
 
 def min_years_required(
-    text: Column, phrases: Sequence[str] = rules.ENTRY_LEVEL_PHRASES
+    text: Column, phrases: Sequence[str] = rules.ENTRY_LEVEL_PHRASES, strict_zero: bool = False
 ) -> Column:
-    """Smallest stated number of years; 0 for an entry-level phrase anywhere; NULL if neither."""
+    """Smallest stated number of years; 0 for an entry-level phrase anywhere; NULL if neither.
+
+    With ``strict_zero`` a phrase that begins with a digit does not count inside a longer number, so
+    that "10 years of experience" is not 0 years.
+    """
     lowered = F.lower(text)
-    entry_level = contains_any(lowered, phrases)
+    numeric = [p for p in phrases if strict_zero and p[:1].isdigit()]
+    entry_level = contains_any(lowered, [p for p in phrases if p not in numeric])
+    if numeric:
+        entry_level = entry_level | lowered.rlike(r"(?U)(?<!\d)(?:" + "|".join(map(re.escape, numeric)) + ")")
     stated = F.regexp_extract_all(lowered, F.lit(STATED_YEARS), F.lit(1))
     return F.when(entry_level, F.lit(0).cast("bigint")).otherwise(
         F.array_min(F.transform(stated, _to_number))

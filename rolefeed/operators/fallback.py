@@ -20,11 +20,11 @@ def numbered(pages: DataFrame, company: Sequence[str] = COMPANY) -> DataFrame:
     """``pages`` with ``page_ord``, which numbers the pages of a company from 0 by address, then
     content. Equal pages of a company have one number, and each is taken once."""
     company = list(company)
-    several = settle(pages.groupBy(*company).agg(F.count("*").alias("n")).where("n > 1").select(*company))
+    several = pages.groupBy(*company).agg(F.count("*").alias("n")).where("n > 1").select(*company)
     # As a rule a company has one page; then no html is read here.
     if several.isEmpty():
         return pages.withColumn("page_ord", F.lit(0).cast("bigint"))
-    several = broadcast_if_small(several)
+    several = broadcast_if_small(settle(several))
     single = pages.join(several, company, "left_anti").withColumn("page_ord", F.lit(0).cast("bigint"))
     among = pages.join(several, company, "left_semi").withColumn("_content", F.md5("html"))
     place = F.row_number().over(Window.partitionBy(*company).orderBy("url", "_content")) - 1

@@ -38,8 +38,10 @@ def _is_word(char: str) -> bool:
     return char.isalnum() or char == "_"
 
 
-def title_matches(title: Column, keywords: Sequence[str] = rules.KEYWORDS) -> Column:
-    """Any keyword anywhere in the title, inside words too."""
+def title_matches(title: Column, keywords: Sequence[str] = rules.KEYWORDS, whole_word: bool = False) -> Column:
+    """Any keyword anywhere in the title, inside words too unless ``whole_word``; false for none."""
+    if whole_word:
+        return F.lower(title).rlike(whole_words(keywords)) if keywords else F.lit(False)
     return contains_any(F.lower(title), rules.folded(keywords))
 
 
@@ -71,17 +73,18 @@ def role_filter(
     df: DataFrame,
     keywords: Sequence[str] = rules.KEYWORDS,
     exclude: Sequence[str] = rules.SENIORITY_TERMS,
+    whole_word: bool = False,
 ) -> DataFrame:
     """Postings for the wanted roles that are not too senior."""
-    return df.where(title_matches(F.col("title"), keywords)).transform(drop_senior, exclude)
+    return df.where(title_matches(F.col("title"), keywords, whole_word)).transform(drop_senior, exclude)
 
 
-def with_experience(df: DataFrame, max_years: int = rules.MAX_YEARS) -> DataFrame:
+def with_experience(df: DataFrame, max_years: int = rules.MAX_YEARS, strict_zero: bool = False) -> DataFrame:
     """Add ``yoe`` (years asked for), ``yoe_note`` and ``yoe_ok`` (not above the cap)."""
     text = F.col("description") if "description" in df.columns else F.lit(None).cast("string")
     kept = [c for c in df.columns if c != "yoe"]
     # As a generator's output the number is not computed again where it is tested and noted.
-    years = F.explode_outer(F.array(min_years_required(text))).alias("yoe")
+    years = F.explode_outer(F.array(min_years_required(text, strict_zero=strict_zero))).alias("yoe")
     return (
         df.select(*kept, years)
         .withColumn("yoe_note", experience_note(F.col("yoe")))
@@ -89,9 +92,9 @@ def with_experience(df: DataFrame, max_years: int = rules.MAX_YEARS) -> DataFram
     )
 
 
-def experience_gate(df: DataFrame, max_years: int = rules.MAX_YEARS) -> DataFrame:
+def experience_gate(df: DataFrame, max_years: int = rules.MAX_YEARS, strict_zero: bool = False) -> DataFrame:
     """Postings that ask for at most ``max_years`` or do not say; adds ``yoe_note``."""
-    return with_experience(df, max_years).where("yoe_ok").drop("yoe", "yoe_ok")
+    return with_experience(df, max_years, strict_zero).where("yoe_ok").drop("yoe", "yoe_ok")
 
 
 # Rules kept in a table instead of a parameter, of any size. Distinct titles meet the terms that

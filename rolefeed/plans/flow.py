@@ -32,6 +32,8 @@ class Rules:
     filter_rendered: bool = False
     on_bad: str = "company"
     location: str = rules.DEFAULT_LOCATION
+    whole_word: bool = False  # keywords do not match inside words of platform titles
+    strict_zero: bool = False  # "10 years of experience" is not 0 years
 
     @classmethod
     def read(cls, spark: SparkSession, keywords: str, seniority: str, experience: str, **other) -> Rules:
@@ -57,7 +59,7 @@ def platform_rows(
         if adapter.fetch:
             rows = rows.unionByName(fetched(adapted, adapter), allowMissingColumns=True)
     title = F.col("title")
-    wanted = title_matches(title, chosen.keywords) & ~too_senior(title, chosen.exclude)
+    wanted = title_matches(title, chosen.keywords, chosen.whole_word) & ~too_senior(title, chosen.exclude)
     return settle(rows.where(F.col("bad").isNotNull() | wanted))
 
 
@@ -89,7 +91,7 @@ def matching_postings(
         chosen.filter_rendered, location=chosen.location,
     )
     both = usable(platform, chosen.on_bad).unionByName(html, allowMissingColumns=True)
-    return with_experience(both, chosen.max_years).drop("description")
+    return with_experience(both, chosen.max_years, chosen.strict_zero).drop("description")
 
 
 class Outcome(NamedTuple):

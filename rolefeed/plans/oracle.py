@@ -17,6 +17,7 @@ def _contains_any(text: str, words) -> str:
 POSTINGS = inputs.POSTINGS_SQL.format(orders="orders", nation="nation")
 CATALOG = inputs.CATALOG_SQL.format(supplier="supplier")
 
+# The patterns that results must agree with, in their plain form.
 _WORDS = "|".join(term.replace(" ", r"\s") for term in rules.SENIORITY_TERMS)
 SENIOR = rf"regexp_matches(lower(title), '\b(?:{_WORDS})\b')"
 KEYWORD = _contains_any("lower(title)", rules.KEYWORDS)
@@ -277,21 +278,22 @@ ORACLE = {
       timestamp '2025-01-01' as first_seen from ({_first('runs', 'run_id, ' + _ORD)})""",
     "seen_commit": _postings(f""",
  runs as (select * replace (cast({_SINCE} as int) as run_id) from p),
- some as ({_first('runs', 'run_id, ' + _ORD, 'run_id = 0 or posting_ord % 2 = 0')}),
+ evens as ({_first('runs', 'run_id, ' + _ORD, 'run_id = 0 or posting_ord % 2 = 0')}),
  whole as ({_first('runs', 'run_id, ' + _ORD)}),
- states as (select *, unnest(['before', 'kept']) as state from some union all select *, 'after' from whole)""")
+ states as (select *, unnest(['before', 'kept']) as state from evens union all select *, 'after' from whole)""")
     + "select cast(run_id as bigint) as run_id, company_ord, posting_ord, company, title, url, state from states",
-    "seen_compacted": _postings(""",
- years as (select * replace (run_id // 100 as run_id), run_id as month from p)""")
+    "seen_compacted": _postings(f""",
+ years as (select * replace (cast((run_id // 100 - {registry.FIRST_YEAR}) // 2 as bigint) as run_id), run_id as month from p)""")
     + _first("years", "month, " + _ORD, columns="run_id, company_ord, posting_ord, title, url"),
-    "card_contexts": LINKS + f""", n as (select page_id, unnest([0, 1]) as second, link_ord, url, href, text,
-   regexp_extract(url, '^(https?://[^/]+)', 1) as site from links)
- select page_id, 2 * link_ord + second as link_ord,
+    "card_contexts": LINKS + f""", n as (select page_id, unnest([0, 1]) as second, link_ord, href, text,
+   regexp_extract(full_url, '^(https?://[^/]+)', 1) as site from links),
+ c as (select page_id, 2 * link_ord + second as link_ord,
    site || case second when 0 then '/jobs' || href else '/jobs/x' || substr(href, 2) end as full_url,
    case second when 0 then {_role_title} else text || ' more' end as title,
    case second when 0 then 'Open Role ' || text || ' apply'
      else 'Open Role ' || text || ' apply till May ' || text || ' more' end as context_text
- from n""",
+ from n)
+ select page_id, link_ord, full_url, title, context_text from (select *, {_ON_PAGE} as rn from c) where rn = 1""",
     "fetch_outstanding": ROUTED + f""",
  e as (select company_ord, source_type, coalesce(total, 0) as total, source_type in ('workday', 'amazon') as paged,
    case source_type when 'workday' then 20 when 'amazon' then 100 else 1 end as lim, ceil(coalesce(total, 0) / 2) as half
@@ -341,6 +343,12 @@ ORACLE = {
     "role_filter": _postings() + f"select posting_ord, title from p where {KEYWORD} and not {SENIOR}",
     "yoe_gate": _postings(f", y as (select posting_ord, {_yoe('description')} as yoe from p)")
     + f"select posting_ord, {NOTE} as yoe_note from y where yoe is null or yoe <= 1",
+    "strict_roles": _postings(f""",
+ y as (select *, case when {_contains_any('lower(description)', [w for w in rules.ENTRY_LEVEL_PHRASES if not w[0].isdigit()])}
+     or regexp_matches(lower(description), '(^|[^0-9])0 years of experience') then 0
+   else list_min(list_transform(regexp_extract_all(lower(description), '{_YEARS}', 1), lambda n: cast(n as bigint))) end as yoe from p
+   where regexp_matches(lower(title), '\\b(?:{"|".join(rules.KEYWORDS)})\\b') and not {SENIOR})""")
+    + f"select posting_ord, title, {NOTE} as yoe_note from y where yoe is null or yoe <= 1",
     "html_keyword_links": LINKS + f""" select page_id, link_ord, full_url,
       coalesce(nullif(text, ''), '{rules.UNTITLED_LINK}') as title
       from links where {_link_hit(registry.PAGE_KEYWORDS)}""",

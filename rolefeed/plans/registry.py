@@ -38,7 +38,8 @@ PAGE_BOILERPLATE = ("ther", "tion")
 LANDINGS = (0, 199501, 199701, 999999)
 SPLIT_RUN = 199601
 RUN_TS = dt.datetime(2025, 1, 1)
-RUN_YEARS = range(1992, 1999)
+# Runs of two years each.
+FIRST_YEAR, RUNS = 1995, 4
 SEEN_COLUMNS = ("run_id", "company_ord", "posting_ord", "company", "title", "url")
 
 
@@ -272,12 +273,12 @@ def seen_commit(spark, sf_dir):
 
 @query
 def seen_compacted(spark, sf_dir):
-    """What each year's run reports when the table is merged after every second run, the runs of two
-    merged years are repeated, and everything is merged at the end."""
+    """What runs of two years each report when the table is merged after every second run, two runs
+    that are merged by then are repeated, and everything is merged at the end."""
     history, path = inputs.postings(spark, sf_dir), shared_dir(spark)
-    for year in (*RUN_YEARS, RUN_YEARS[1], RUN_YEARS[4]):
-        part = history.where(F.floor(F.col("run_id") / 100) == year)
-        seen_store.record_new(part, path, year, RUN_TS, order=dedup.HISTORY_ORDER, merge_after=2)
+    for run_id in (*range(RUNS), 1, 2):
+        part = history.where(F.floor((F.col("run_id") / 100 - FIRST_YEAR) / 2) == run_id)
+        seen_store.record_new(part, path, run_id, RUN_TS, order=dedup.HISTORY_ORDER, merge_after=1)
     seen_store.merge(spark, path, everything=True)
     return seen_store.read_seen(spark, path).select("run_id", "company_ord", "posting_ord", "title", "url")
 
@@ -430,6 +431,13 @@ def catalog_lookup(spark, sf_dir):
     return catalogs.lookup(inputs.catalog(spark, sf_dir), "SUPPLIER#000000007")
 
 
+@query
+def strict_roles(spark, sf_dir):
+    """Roles by whole words, and experience with zero years in earnest."""
+    rows = filters.role_filter(inputs.postings(spark, sf_dir), whole_word=True)
+    return filters.experience_gate(rows, strict_zero=True).select("posting_ord", "title", "yoe_note")
+
+
 # --- joins --------------------------------------------------------------------------------
 
 

@@ -101,6 +101,10 @@ def vacuum(spark: SparkSession, path: str, keep: int = KEEP_COMMITS) -> None:
     files.remove(spark, f"{path}/staged")
 
 
+def _less(folders: list[Folder], run_id: int) -> list[Folder]:
+    return [f for f in (f.less(run_id) for f in folders) if f]
+
+
 # --- reading --------------------------------------------------------------------------------
 
 
@@ -117,15 +121,14 @@ def _read(spark: SparkSession, path: str, folders: list[Folder]) -> DataFrame:
 def read_seen(spark: SparkSession, path: str, except_run: int | None = None) -> DataFrame:
     """Rows ever reported, but for one run's; empty if nothing has been committed yet."""
     folders = committed(spark, path)[1]
-    if except_run is not None:
-        folders = [f for f in (f.less(except_run) for f in folders) if f]
-    return _read(spark, path, folders)
+    return _read(spark, path, folders if except_run is None else _less(folders, except_run))
 
 
-def read_run(spark: SparkSession, path: str, run_id: int) -> DataFrame:
-    """Rows that one run reported."""
-    folders = [f for f in committed(spark, path)[1] if f.first_run <= run_id <= f.last_run and run_id not in f.without]
-    return _read(spark, path, folders).where(F.col("run_id") == run_id)
+def read_run(spark: SparkSession, path: str, run_id: int, folders: list[Folder] | None = None) -> DataFrame:
+    """Rows that one run reported. ``folders`` are those committed, if they are known already."""
+    folders = committed(spark, path)[1] if folders is None else folders
+    own = [f for f in folders if f.first_run <= run_id <= f.last_run and run_id not in f.without]
+    return _read(spark, path, own).where(F.col("run_id") == run_id)
 
 
 def only_urls(seen: DataFrame, urls: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -153,9 +156,12 @@ def _write(rows: DataFrame, path: str) -> tuple[str, int]:
     return folder, int(counted.get.get("rows", 0))
 
 
-def append_run(new: DataFrame, path: str, run_id: int, run_ts: dt.datetime) -> None:
+def append_run(
+    new: DataFrame, path: str, run_id: int, run_ts: dt.datetime, last: tuple[int, list[Folder]] | None = None
+) -> list[Folder]:
     """Record the new postings of a run, all of them or none; what the run recorded before goes in
-    the same step. ``run_ts`` is UTC, without zone."""
+    the same step. ``run_ts`` is UTC, without zone. ``last`` is the last commit, if it is known
+    already; returned are the folders that count now."""
     spark, run_id = new.sparkSession, int(run_id)
     note = F.col("yoe_note") if "yoe_note" in new.columns else F.lit(None).cast("string")
     rows = new.select(
@@ -165,12 +171,13 @@ def append_run(new: DataFrame, path: str, run_id: int, run_ts: dt.datetime) -> N
     )
     # Rebalanced, so that a small run does not leave many tiny files.
     folder, count = _write(rows.hint("rebalance").sortWithinPartitions("url"), path)
-    version, folders = committed(spark, path)
-    kept = [f for f in (f.less(run_id) for f in folders) if f]
+    version, folders = last or committed(spark, path)
+    kept = _less(folders, run_id)
     if count:
         kept.append(Folder(folder, run_id, run_id, count))
     if kept != folders:
         commit(spark, path, version + 1, kept)
+    return kept
 
 
 def merge(spark: SparkSession, path: str, everything: bool = False) -> None:
@@ -209,9 +216,14 @@ def record_new(
     """
     spark = df.sparkSession
     candidates = settle(first_per_url(df, order))
-    seen = read_seen(spark, path, except_run=run_id).select("url")
+    last = committed(spark, path)
     urls = candidates.select("url").where("url is not null")
-    append_run(not_seen(candidates, only_urls(seen, urls, limit), order), path, run_id, run_ts)
-    if len(committed(spark, path)[1]) > merge_after:
+    known = _less(last[1], run_id)
+    new = candidates
+    if known:
+        new = not_seen(candidates, only_urls(_read(spark, path, known).select("url"), urls, limit), order)
+    folders = append_run(new, path, run_id, run_ts, last)
+    if len(folders) > merge_after:
         merge(spark, path)
-    return read_run(spark, path, run_id)
+        folders = committed(spark, path)[1]
+    return read_run(spark, path, run_id, folders)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from rolefeed import files
 from rolefeed.operators.dedup import RUN_ORDER, own_key
 from rolefeed.operators.report import run_metrics, write_digest, write_metrics
-from rolefeed.session import settle
+from rolefeed.session import settle, settled_paths
 from rolefeed.sources.seen import committed, record_new
 
 OBSERVED = "gate"
@@ -54,16 +55,19 @@ def report_new(
 
     def one_run(batch: DataFrame, batch_id: int) -> None:
         stamp = run_ts(batch_id) if run_ts else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        postings = to_postings(batch)
-        if "yoe_ok" not in postings.columns:
-            postings = postings.withColumn("yoe_ok", F.lit(True))
-        if metrics_path:
-            postings = settle(postings)  # read by the run and by its metrics
-        new = record_new(postings.where("yoe_ok"), seen_path, batch_id, stamp, order)
-        if metrics_path:
-            write_metrics(run_metrics(new, postings), metrics_path, batch_id)
-        if digest_path:
-            write_digest(new, f"{digest_path}/run_id={batch_id}")
+        with settled_paths() as scratch:
+            postings = to_postings(batch)
+            if "yoe_ok" not in postings.columns:
+                postings = postings.withColumn("yoe_ok", F.lit(True))
+            if metrics_path:
+                postings = settle(postings)  # read by the run and by its metrics
+            new = record_new(postings.where("yoe_ok"), seen_path, batch_id, stamp, order)
+            if metrics_path:
+                write_metrics(run_metrics(new, postings), metrics_path, batch_id)
+            if digest_path:
+                write_digest(new, f"{digest_path}/run_id={batch_id}")
+        for path in scratch:
+            files.remove(batch.sparkSession, path)
 
     if gate:
         stream = gate(stream)

@@ -13,6 +13,7 @@ is repeated after a failure finds what it found before. Snapshots before that ar
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -65,44 +66,59 @@ class Waiting(NamedTuple):
     def write(self, path: str, batch_id: int) -> None:
         # The cards come last: their mark says that all is there.
         for name, part in zip(self._fields, self):
-            part.hint("rebalance").write.mode("overwrite").parquet(f"{path}/{batch_id}/{name}")
+            part.write.mode("overwrite").parquet(f"{path}/{batch_id}/{name}")
 
 
-def page_postings(pages: DataFrame, before: Waiting, chosen: Rules, keep_runs: int | None = None) -> tuple[DataFrame, Waiting]:
+def _kinds(rows: DataFrame) -> set[str]:
+    return {r.kind for r in rows.select("kind").distinct().collect()}
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def page_postings(
+    pages: DataFrame, kinds: set[str], before: Waiting, chosen: Rules, keep_runs: int | None = None
+) -> tuple[DataFrame, Waiting]:
     """Postings that can be told from the pages landed now and what waits, and what waits then.
 
-    ``pages`` is (run_id, company_ord, company, kind, url, html). With ``keep_runs``, crawls that many
-    runs older than the latest are waited for no longer.
+    ``pages`` is (run_id, company_ord, company, kind, url, html), of the ``kinds`` given. With
+    ``keep_runs``, crawls that many runs older than the latest are waited for no longer.
     """
+    # What is joined here is settled, so its size is known: small tables are broadcast.
     key = list(CRAWL)
-    landed = pages.where(F.col("kind") == STATIC)
-    hits = static_hits(landed.drop("kind"), chosen.keywords, CRAWL)
-    linked = hits.select(*key).distinct().withColumn("found", F.lit(True))
-    now = landed.select(*key).distinct().join(linked, key, "left").fillna(False, ["found"])
-    status = settle(before.static.unionByName(now).groupBy(*key).agg(F.max("found").alias("found")))
-    shown = pages.where(F.col("kind") == RENDERED) if chosen.use_rendered else pages.limit(0)
-    # A page whose company is known to need none is not parsed.
-    needless = broadcast_if_small(status.where("found").select(*key))
-    cards = rendered_postings(
-        shown.drop("kind").join(needless, key, "left_anti"),
-        chosen.keywords, chosen.exclude, chosen.fragments, chosen.boilerplate, chosen.filter_rendered,
-        location=chosen.location, company=CRAWL,
-    )
-    cards = settle(before.cards.unionByName(cards.select(*_CARDS.names)))
+    landed, shown = (pages.where(F.col("kind") == kind) for kind in (STATIC, RENDERED))
+    status, found, cards = before.static, [], before.cards
+    if STATIC in kinds:
+        hits = static_hits(landed.drop("kind"), chosen.keywords, CRAWL)
+        linked = hits.select(*key).distinct().withColumn("found", F.lit(True))
+        now = landed.select(*key).distinct().join(linked, key, "left").fillna(False, ["found"])
+        status = settle(status.unionByName(now).groupBy(*key).agg(F.max("found").alias("found")))
+        found.append(static_postings(hits, chosen.exclude, CRAWL))
+    if RENDERED in kinds and chosen.use_rendered:
+        # A page whose company is known to need none is not parsed.
+        needless = status.where("found").select(*key)
+        fresh = rendered_postings(
+            shown.drop("kind").join(needless, key, "left_anti"),
+            chosen.keywords, chosen.exclude, chosen.fragments, chosen.boilerplate, chosen.filter_rendered,
+            location=chosen.location, company=CRAWL,
+        )
+        cards = cards.unionByName(fresh.select(*_CARDS.names))
+    else:
+        shown = pages.limit(0)
+    cards = settle(cards)
     rendered = settle(before.rendered.unionByName(shown.select(*key)).distinct())
-    settled = broadcast_if_small(status)
-    empty = settled.where("not found").select(*key)
-    ready = cards.join(empty, key, "left_semi")
+    found.append(cards.join(status.where("not found"), key, "left_semi"))
     after = Waiting(
-        status.join(broadcast_if_small(rendered), key, "left_anti"),
-        rendered.join(settled, key, "left_anti"),
-        cards.join(settled, key, "left_anti"),
+        status.join(rendered, key, "left_anti"),
+        rendered.join(status, key, "left_anti"),
+        cards.join(status, key, "left_anti"),
     )
     if keep_runs is not None:
         latest = status.select("run_id").unionByName(rendered.select("run_id")).agg(F.max("run_id")).first()[0]
         if latest is not None:
             after = Waiting(*(part.where(F.col("run_id") > latest - keep_runs) for part in after))
-    return static_postings(hits, chosen.exclude, CRAWL).unionByName(ready, allowMissingColumns=True), after
+    return _united(found), after
 
 
 def landed_postings(
@@ -112,15 +128,19 @@ def landed_postings(
     ``yoe_note`` and ``yoe_ok``, and what waits then. A bad record fails its company within its batch.
     """
     landed = settle(batch, partition_by="kind")
-    payloads = landed.where(F.col("kind") == PAYLOAD).select("company_ord", "source_type", "page_offset", "body")
-    platform = usable(platform_rows(catalog, payloads, chosen), chosen.on_bad)
-    generic = broadcast_if_small(generic_companies(catalog))
-    pages = landed.where(F.col("kind").isin(STATIC, RENDERED)).join(generic, "company_ord").select(
-        *CRAWL, "company", "kind", "url", F.col("body").alias("html")
-    )
-    found, after = page_postings(pages, before, chosen, keep_runs)
-    both = platform.unionByName(found.drop("run_id"), allowMissingColumns=True)
-    return with_experience(both, chosen.max_years).drop("description"), after
+    kinds, parts, after = _kinds(landed), [], before
+    if PAYLOAD in kinds:
+        payloads = landed.where(F.col("kind") == PAYLOAD).select("company_ord", "source_type", "page_offset", "body")
+        parts.append(usable(platform_rows(catalog, payloads, chosen), chosen.on_bad))
+    if kinds & {STATIC, RENDERED}:
+        generic = broadcast_if_small(generic_companies(catalog))
+        pages = landed.where(F.col("kind").isin(STATIC, RENDERED)).join(generic, "company_ord").select(
+            *CRAWL, "company", "kind", "url", F.col("body").alias("html")
+        )
+        found, after = page_postings(pages, kinds, before, chosen, keep_runs)
+        parts.append(found.drop("run_id"))
+    both = _united(parts) if parts else batch.sparkSession.createDataFrame([], schemas.POSTING).drop("run_id", "captured_at", "context_text")
+    return with_experience(both, chosen.max_years, chosen.strict_zero).drop("description"), after
 
 
 def run_landings(

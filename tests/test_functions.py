@@ -202,3 +202,17 @@ def test_resolved_like_urljoin(spark):
     assert not wrong, (len(wrong), wrong[:10])
     assert sum(v is None for v in got.values()) > 100
     assert spark.sql("select 1").select(resolved(F.lit("https://h/"), F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_strict_options(spark):
+    from rolefeed.operators.filters import experience_gate, role_filter
+
+    rows = [(i, t, d) for i, (t, d) in enumerate([
+        ("Fulfillment lead-in", None), ("LLM engineer", "10 years of experience"), ("Answer desk", ""), ("SWE", "0 years of experience"),
+        ("full-stack dev", "100 years of experience; no prior experience"), ("Backend  Engineer", None)])]
+    df = spark.createDataFrame(rows, "i int, title string, description string")
+    assert [r.i for r in role_filter(df, whole_word=True).collect()] == [1, 3, 4]
+    assert [r.i for r in role_filter(df, exclude=()).collect()] == [0, 1, 2, 3, 4]
+    assert role_filter(df, keywords=(), whole_word=True).count() == 0
+    assert {r.i: r.yoe_note for r in experience_gate(df, strict_zero=True).collect()}.keys() == {0, 2, 3, 4, 5}
+    assert experience_gate(df).count() == 6

@@ -1,10 +1,9 @@
 """Streams over raw responses and pages, bounded memory, and metrics on the way."""
 
 import datetime as dt
-import itertools
 import json
 
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rolefeed import files, schemas
 from rolefeed.operators.filters import role_filter, with_experience
@@ -47,14 +46,15 @@ def replay(spark, batches, **options):
 
 
 def test_any_order_of_landing(spark):
-    for batches in ([[*PAGES, PAYLOAD]], [[p] for p in (PAGES[1], PAGES[3], PAGES[0], PAGES[2])] + [[PAYLOAD, *PAGES[4:]]],
-                    [PAGES[1::2], PAGES[::2], [PAYLOAD]], [PAGES[::2], [PAYLOAD], PAGES[1::2]]):
+    # Static pages first; both kinds in two parts that cross.
+    for batches in ([PAGES[::2], [PAYLOAD], PAGES[1::2]],
+                    [[PAGES[1], PAGES[2], PAGES[5], PAGES[6]], [PAGES[0], PAGES[3], PAGES[4], PAGES[7], PAYLOAD]]):
         base, found = replay(spark, batches)
         assert found == REPORTED, batches
     # Only what is outstanding is carried over, and only the last two snapshots are kept.
-    state = landings.Waiting.read(spark, f"{base}/state", 2)
+    state = landings.Waiting.read(spark, f"{base}/state", 1)
     assert [r.company_ord for r in state.static.collect()] == [3] and [r.company_ord for r in state.rendered.collect()] == [4]
-    assert {r.company_ord for r in state.cards.collect()} == {4} and files.child_names(spark, f"{base}/state") == ["1", "2"]
+    assert {r.company_ord for r in state.cards.collect()} == {4} and files.child_names(spark, f"{base}/state") == ["0", "1"]
 
 
 def test_a_whole_run_agrees(spark):
@@ -100,7 +100,6 @@ def test_metrics_are_observed_on_the_way(spark):
     for run_id, texts in enumerate(([None, "9 yrs experience", "1 yr experience"], ["5 yrs experience", None], ["x"])):
         rows = [(run_id, 0, 10 * run_id + i, "C", "SWE", f"u{i}", t) for i, t in enumerate(texts)]
         spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{base}/in")
-        from pyspark.sql.types import StructType
         stream = incremental.landed_stream(spark, f"{base}/in", StructType.fromDDL(schema))
         query = incremental.report_new(stream, f"{base}/seen", f"{base}/cp", gate=gate)
         query.awaitTermination()
@@ -113,14 +112,12 @@ def test_metrics_are_observed_on_the_way(spark):
 
 def test_bounded_memory(spark):
     base, schema = shared_dir(spark), "company_ord bigint, posting_ord bigint, url string, captured_at timestamp_ntz"
-    from pyspark.sql.types import StructType
     for day, urls in ((0, ["a", "b", None, None]), (1, ["a", "c", None]), (9, ["a"]), (20, ["b"]), (40, ["a", "c", "a"])):
         at = NOW + dt.timedelta(days=day)
-        spark.createDataFrame([(0, i, u, at) for i, u in enumerate(urls)], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        spark.createDataFrame([(0, 10 * day + i, u, at) for i, u in enumerate(urls)], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
         new = incremental.new_within(incremental.landed_stream(spark, f"{base}/in", StructType.fromDDL(schema)), "5 days")
         incremental.append_batches(new, f"{base}/out", f"{base}/cp").awaitTermination()
     got = sorted(((r.captured_at - NOW).days, str(r.url)) for r in spark.read.parquet(f"{base}/out").collect())
-    print(got)
     # Day 9: the watermark is -4, so "a" of day 0 is known. Day 20: it is 4, "b" of day 0 is known until 5.
     # Day 40: it is 15, all are forgotten but "b" of day 20, had it been reported then.
     assert got == [(0, "None"), (0, "None"), (0, "a"), (0, "b"), (1, "None"), (1, "c"), (40, "a"), (40, "c")]
