@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     path = vocabulary or default_vocabulary()
     source = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
     # Larger blocks repeat more words.
-    cut = add_columns(source, [source["text"]], PIECES, lambda a: _cut(a[0], path, capacity, end_id, with_ids), rows=1 << 14)
+    cut = add_columns(source, [source["text"]], PIECES, lambda a: _cut(a[0], path, capacity, end_id, with_ids), rows=1 << 14, drop=["text"])
     return cut.select("doc_id", F.explode("cuts").alias("c")).select("doc_id", "c.*")
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rolefeed.llm.rows import add_columns, give_back
 
@@ -172,4 +173,5 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
         give_back()
         return [pa.array(scores), pa.array((scores >= ACCEPT).astype(np.int32))]
 
-    return add_columns(docs, [docs[text].cast("string")], "score double, predicted int", run)
+    given = text if text in docs.columns and docs.schema[text].dataType == StringType() else docs[text].cast("string")
+    return add_columns(docs, [given], "score double, predicted int", run)
