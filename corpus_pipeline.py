@@ -14,6 +14,14 @@ from rolefeed.llm import decontaminate, jaccard_join, line_dedup, packing, quali
 from rolefeed.session import shared_dir
 
 
+# Executors run several Python workers beside a full heap, so what is sent to one at a time is small.
+BATCH_BYTES = "8m"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _measured(changed: DataFrame, columns: list[str]) -> DataFrame:
     """``changed`` with ``n_chars`` of its new texts, if there is such a column."""
     if "n_chars" in columns:
@@ -23,6 +31,7 @@ def _measured(changed: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; others go. It learns from ``labels``."""
+    _small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score_documents(docs, model).where("predicted = 1").select(*docs.columns)
 
@@ -34,17 +43,20 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
+    _small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of test items."""
+    _small_batches(spark)
     cut = decontaminate.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _measured(cut, docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
+    _small_batches(spark)
     return packing.pack_documents(docs)
 
 
