@@ -61,15 +61,17 @@ def _rows(fetch: Callable, company: str, url: str):
 def fetched(companies: DataFrame, adapter: Adapter) -> DataFrame:
     """Postings that an adapter fetches for the companies of a routed catalog that go to it, in the
     form of ``normalise``."""
+    fetch, name = adapter.fetch, adapter.name
+
     def run(batches):
         for batch in batches:
             for ord_, company, url in zip(*(batch.column(c).to_pylist() for c in ("company_ord", "name", "url"))):
-                rows = [*_rows(adapter.fetch, company, url)]
+                rows = [*_rows(fetch, company, url)]
                 if rows:
                     place, problem, title, link, text = zip(*rows)
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ord_] * n, pa.int64()), pa.array([company] * n, pa.string()), pa.array([adapter.name] * n, pa.string()),
+                        [pa.array([ord_] * n, pa.int64()), pa.array([company] * n, pa.string()), pa.array([name] * n, pa.string()),
                          pa.array(place, pa.int64()), *(pa.array(v, pa.string()) for v in (problem, title, link, text))],
                         names=["company_ord", "company", "source_type", "posting_ord", "bad", "title", "url", "description"])
 

@@ -53,9 +53,10 @@ class Waiting(NamedTuple):
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, batch_id: int) -> Waiting:
-        """What a batch left; nothing if there was none."""
+        """What a batch left; nothing if there was none. A batch follows only one that has ended, so
+        what is there is whole."""
         folder = f"{path}/{batch_id}"
-        if not files.exists(spark, f"{folder}/cards/_SUCCESS"):
+        if not files.exists(spark, f"{folder}/cards"):
             return cls(*(spark.createDataFrame([], s) for s in (_STATUS, T.StructType(_CRAWL), _CARDS)))
         return cls(
             spark.read.schema(_STATUS).parquet(f"{folder}/static"),
@@ -64,7 +65,6 @@ class Waiting(NamedTuple):
         )
 
     def write(self, path: str, batch_id: int) -> None:
-        # The cards come last: their mark says that all is there.
         for name, part in zip(self._fields, self):
             part.write.mode("overwrite").parquet(f"{path}/{batch_id}/{name}")
 
