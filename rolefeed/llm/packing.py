@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolefeed.llm.packing_plan import Filling, plan
-from rolefeed.llm.rows import add_columns, fresh
+from rolefeed.llm.rows import add_columns, fresh, give_back
 from rolefeed.llm.tokens import default_vocabulary, encoder
 from rolefeed.session import settle
 
@@ -46,7 +46,10 @@ def _cut(texts: pa.Array, path: str, capacity: int, end_id: int, with_ids: bool)
         ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
         ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32())),
     ]))
-    return [pa.array(rows, kind)]
+    made = pa.array(rows, kind)
+    del rows
+    give_back()
+    return [made]
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
