@@ -31,11 +31,28 @@ ACCEPT = 0.3
 HELD_OUT = 5  # documents whose crc32(doc_id) mod 5 is 0 are never learned from
 BLOCK_ROWS = 512
 BLOCK_BYTES = 4 << 20
+STEP_BYTES = 256 << 10  # text counted at once; its arrays take about 40 times that
 
 _pairs = np.arange(1 << 16, dtype=np.uint64)
 _TERM = ((_pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 11)).astype(np.int64)
 
 
+def _count_block(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Term counts, rows x TERMS, of texts that lie in ``data`` one behind the other. Bytes are
+    taken in steps, so a long text costs no more memory than a short one."""
+    counts = np.zeros((len(offsets) - 1, TERMS), dtype=np.int32)
+    for start in range(int(offsets[0]), int(offsets[-1]) - 1, STEP_BYTES):
+        # The pairs that begin in this step; the last one's second byte is the next step's first.
+        part = data[start:min(start + STEP_BYTES + 1, int(offsets[-1]))]
+        rows = np.repeat(np.arange(len(counts)), np.diff(np.clip(offsets - start, 0, len(part))))
+        same = rows[1:] == rows[:-1]
+        term = _TERM[(part[:-1].astype(np.int64) << 8) | part[1:]]
+        first, last = int(rows[0]), int(rows[-1]) + 1
+        flat = ((rows[:-1] - first) * TERMS + term)[same]
+        counts[first:last] += np.bincount(flat, minlength=(last - first) * TERMS).reshape(-1, TERMS)
+    return counts
+
+
 def _counts(texts: pa.Array):
     """Term counts of blocks of texts: first row and an array of rows x TERMS."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -49,15 +66,7 @@ def _counts(texts: pa.Array):
     while low < len(texts):
         high = int(np.searchsorted(offsets, offsets[low] + BLOCK_BYTES, side="right")) - 1
         high = min(max(high, low + 1), len(texts), low + BLOCK_ROWS)
-        part, ends = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
-        rows = np.repeat(np.arange(high - low), np.diff(ends))
-        if len(part) > 1:
-            same = rows[1:] == rows[:-1]
-            term = _TERM[(part[:-1].astype(np.int64) << 8) | part[1:]]
-            flat = (rows[:-1] * TERMS + term)[same]
-        else:
-            flat = np.empty(0, dtype=np.int64)
-        yield low, np.bincount(flat, minlength=(high - low) * TERMS).reshape(high - low, TERMS)
+        yield low, _count_block(data, offsets[low:high + 1])
         low = high
 
 
@@ -68,6 +77,7 @@ def _frequency_rows(batches):
         for _, counts in _counts(batch.column(0)):
             total += (counts > 0).sum(axis=0)
             n += len(counts)
+        give_back()
     if n:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(-1, TERMS)), pa.array(np.r_[n, total])], names=["term", "n"]
@@ -142,6 +152,7 @@ def _features(texts: pa.Array) -> list[pa.Array]:
     rows = []
     for _, counts in _counts(texts):
         rows += [c.astype("<u4").tobytes() for c in counts]
+    give_back()
     return [pa.array(rows, pa.binary())]
 
 

@@ -16,10 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Entries of a store that are certain to be kept; twice as many are held at most.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 TAIL = ".,!?;:$%&*#|"
 # Text cut into words at once; bounds a task's memory, not what is read.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def _byte_characters() -> dict[int, str]:

@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -560,3 +561,45 @@ def test_long_labelled_texts_get_their_scored_vectors(spark):
 
 def test_scratch_is_shared(spark):
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_quality_counts_in_little_memory():
+    texts = pa.array(["the quick brown fox " * 200_000, "", None, "é", "a"], pa.string())
+    assert peak_mb(lambda: list(quality._counts(texts))) < 50
+
+
+def test_quality_counts_across_steps(monkeypatch):
+    monkeypatch.setattr(quality, "STEP_BYTES", 7)
+    rng = random.Random(17)
+    texts = [None if rng.random() < 0.1 else "".join(rng.choice("abé ") for _ in range(rng.randrange(30))) for _ in range(700)]
+    got = np.concatenate([counts for _, counts in quality._counts(pa.array([*texts, "ab", "c"], pa.string()).slice(3))])
+    assert len(got) == len(texts) - 1
+    for text, counts in zip([*texts[3:], "ab", "c"], got):
+        data = (text or "").encode()
+        want = collections.Counter(int(quality._TERM[a << 8 | b]) for a, b in zip(data, data[1:]))
+        assert {t: int(counts[t]) for t in np.flatnonzero(counts)} == want
+
+
+def test_tokens_in_little_memory():
+    rng = random.Random(18)
+    texts = pa.array([prose(rng, 1000, 300) for _ in range(1700)], pa.string())
+    ours = tokens.WordEncoder(tokens.default_vocabulary())
+    total = 0
+
+    def work():
+        nonlocal total
+        for _, ids, bounds in ours.encode_all(texts):
+            total += len(bounds) - 1
+            del ids
+
+    assert peak_mb(work) < 60
+    assert total == len(texts)
